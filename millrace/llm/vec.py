@@ -111,6 +111,13 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def set_hash(sorted_hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of hashes."""
+    n = _U(len(sorted_hashes))
+    parts = np.array([np.bitwise_xor.reduce(mix(sorted_hashes + n)), np.add.reduce(sorted_hashes), n], _U)
+    return int(window_hashes(parts, 3).view(np.int64)[0])
+
+
 def text_hash(word: str, lower: bool = False) -> int:
     """``span_hashes`` of one word."""
     b = np.frombuffer(word.encode(), np.uint8)
