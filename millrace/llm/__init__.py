@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from millrace.llm import exact_dedup, line_dedup, mixing, ngram_join, token_counts
+    from millrace.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, token_counts
 
     return {
+        "op1_language_id": language_id.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_line_dedup": line_dedup.query,
         "op5_ngram_join": ngram_join.query,
         "op6_mixing": mixing.query,
+        "op9_quality": quality.query,
         "op10_token_counts": token_counts.query,
     }
 
