@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from millrace.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, token_counts, toxicity
+    from millrace.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, toxicity
 
     return {
         "op1_language_id": language_id.query,
+        "op2_pii": pii.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_line_dedup": line_dedup.query,
         "op5_ngram_join": ngram_join.query,
