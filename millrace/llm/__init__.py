@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from millrace.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, toxicity
+    from millrace.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, sentencepieces, token_counts, toxicity
 
     return {
         "op1_language_id": language_id.query,
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": line_dedup.query,
         "op5_ngram_join": ngram_join.query,
         "op6_mixing": mixing.query,
+        "op7_sentencepieces": sentencepieces.query,
         "op8_toxicity": toxicity.query,
         "op9_quality": quality.query,
         "op10_token_counts": token_counts.query,
