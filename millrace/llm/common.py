@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -72,6 +73,12 @@ def release() -> None:
 atexit.register(release)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished phases now, not at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session, so that it need not be installed there."""
     sc = spark.sparkContext

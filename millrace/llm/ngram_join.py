@@ -38,11 +38,16 @@ HOT_MOST = 500_000
 HOT_LEAST = 8
 #: What verifying a candidate costs, in postings read.
 VERIFY = 50
-LONGEST = 4
+#: l is at most this; each step costs a posting and asks for a shared shingle more.
+LONGEST = 8
+#: Documents that share a shingle which isn't hot, as an estimate.
+COLD = 1.5
+#: Lowest-hashed shingles that are counted, as a multiple of the longest prefix.
+POOL = 1.25
 KEYS = 4
 #: Ids or stars of so many rows at most are broadcast; more are joined by shuffle.
 SMALL = 200_000
-#: Pivots of one shingle that meet in one task; longer postings are dealt in blocks of this.
+#: Pivots of one hot shingle that meet in one task, about; longer postings are dealt in blocks of this.
 BLOCK = 1024
 
 _U = np.uint64
@@ -76,7 +81,7 @@ def _pool(width: int, percent: int):
             own, size = [], 0
             for s in shingle_sets(batch.column(0), width):
                 n = len(s)
-                own.append(s[: 2 * (n - least_overlap(n, percent) + LONGEST)])
+                own.append(s[: int(POOL * (n - least_overlap(n, percent) + LONGEST))])
                 size += len(own[-1])
                 if size >= 1 << 20:
                     yield counted(own)
@@ -110,24 +115,23 @@ def hot_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.ndarray
 def choose(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """(l, l-prefix) of a set."""
     n = len(tokens)
+    least = least_overlap(n, percent)
+    longest = min(LONGEST, least)
     if len(hot):
         at = np.searchsorted(hot, tokens)
         at[at == len(hot)] = 0
         is_hot = hot[at] == tokens
         cold = tokens[~is_hot]
-        least = least_overlap(n, percent)
-        longest = min(n, n - least + LONGEST)
-        if len(cold) >= longest:
-            return 1, cold[: n - least + 1]
-        df = np.concatenate([np.ones(len(cold), np.int64), counts[at[is_hot]]])
+        df = np.concatenate([np.full(len(cold), COLD), counts[at[is_hot]]])
         tokens = np.concatenate([cold, tokens[is_hot]])
     else:
-        least, df = least_overlap(n, percent), np.ones(n, np.int64)
-    best = (math.inf, 1)
-    for ell in range(1, min(LONGEST, least) + 1):
-        own = df[: n - least + ell]
-        best = min(best, (float(own.sum() + VERIFY * (own - 1).sum() / ell), ell))
-    return best[1], tokens[: n - least + best[1]]
+        df = np.full(n, COLD)
+    read = np.cumsum(df)
+    ells = np.arange(1, longest + 1)
+    own = n - least + ells
+    cost = read[own - 1] + VERIFY * (read[own - 1] - own) / ells
+    ell = int(np.argmin(cost)) + 1
+    return ell, tokens[: n - least + ell]
 
 
 def _prepare(hot, width: int, percent: int):
@@ -187,18 +191,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(percent: int):
-    """Pairs of pivots that share a shingle, counted within the task; rows: token, cell, pivot, ell, lo, hi, block, one."""
+    """Pairs of pivots that share a shingle within a cell, a row a shingle.
+
+    Rows are token, cell, pivot and meta: l in 8 bits, the smallest and largest set of the star in 28 each.
+    A cell other than 0 is a pair of blocks of a crowded shingle: its pivots pair across blocks only, or
+    within the block if both are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not table.num_rows:
+        held = list(batches)
+        if not held:
             return
-        token, cell, pivot, ell, lo, hi, mine, other = (table.column(c).to_numpy() for c in ("token", "cell", "pivot", "ell", "lo", "hi", "mine", "other"))
-        order = np.lexsort((pivot, cell, token))
-        t, c, p = token[order], cell[order], pivot[order]
-        same = np.zeros(len(t), bool)
-        same[1:] = (t[1:] == t[:-1]) & (c[1:] == c[:-1])
-        starts = np.flatnonzero(~same)
+        table = pa.Table.from_batches(held)
+        del held
+        t, c, p, meta = (table.column(k).to_numpy() for k in ("token", "cell", "pivot", "meta"))
+        del table
+        order = np.lexsort((meta, p, c, t))  # of a pivot's rows for a shingle, the one with the least l comes first
+        t, c, p, meta = t[order], c[order], p[order], meta[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        once = new.copy()
+        once[1:] |= p[1:] != p[:-1]
+        t, c, p, meta, new = t[once], c[once], p[once], meta[once], new[once]
+        ell, lo, hi = meta >> 56, (meta >> 28) & 0xFFFFFFF, meta & 0xFFFFFFF
+        starts = np.flatnonzero(new)
         lengths = np.diff(np.append(starts, len(t)))
         out_a, out_b, out_l, size = [], [], [], 0
 
@@ -206,14 +221,19 @@ def _meet(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_l)], names=["a", "b", "need"])
 
         for s, k in zip(starts[lengths > 1], lengths[lengths > 1], strict=True):
-            at = order[s : s + k]
-            q, e, low, high, m, o = pivot[at], ell[at], lo[at], hi[at], mine[at], other[at]
+            q, e, low, high = p[s : s + k], ell[s : s + k], lo[s : s + k], hi[s : s + k]
+            blocks = int(c[s]) >> 40
+            if blocks:
+                m = block_of(q, blocks)
+                one, two = (int(c[s]) >> 20) & 0xFFFFF, int(c[s]) & 0xFFFFF
             for i in range(k - 1):
-                j = np.arange(i + 1, k)
-                fits = (q[j] != q[i]) & (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j]) & ((m[j] != m[i]) | (m[j] == o[j]))
-                j = j[fits]
+                j = slice(i + 1, k)
+                fits = (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j])
+                if blocks and one != two:
+                    fits &= m[j] != m[i]
+                j = np.flatnonzero(fits) + i + 1
                 if len(j):
-                    out_a.append(np.full(len(j), q[i])), out_b.append(q[j]), out_l.append(np.minimum(e[j], e[i]))
+                    out_a.append(np.full(len(j), q[i])), out_b.append(q[j]), out_l.append(np.minimum(e[j], e[i]).astype(np.int32))
                     size += len(j)
                     if size >= 1 << 18:
                         yield packed()
@@ -224,12 +244,18 @@ def _meet(percent: int):
     return run
 
 
+def block_of(pivots: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each pivot of a crowded shingle: its own bits, modulo the number of blocks."""
+    return np.mod(pivots, blocks)
+
+
 class Join:
     def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
         self.spark, self.docs, self.width, self.percent = docs.sparkSession, docs, width, percent
         common.ship(self.spark)
         hot = hot_shingles(docs.select("text"), width, percent)
         self.hot = self.spark.sparkContext.broadcast(hot)
+        common.free_shuffles(self.spark)
         self.rows = common.written(docs.select("doc_id", "text").mapInArrow(_prepare(self.hot, width, percent), SETS), "shingles")
         #: A row a node: its smallest doc_id.
         self.nodes = common.written(self.rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "nodes")
@@ -249,12 +275,14 @@ class Join:
         if ids.filter("doc_id is null").limit(1).count():
             named = named.union(self.docs.filter("doc_id is null").select("text"))
         got = named.mapInArrow(_full(self.width), "node long, tokens binary").join(self.small(want), "node", "left_semi")
-        got = common.written(got.dropDuplicates(["node"]), "sets")
+        got = common.written(got, "sets")
+        common.free_shuffles(self.spark)
         self.sets = got if self.sets is None else self.sets.union(got)
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, common, total) of distinct pairs of nodes, written."""
         pairs = common.written(pairs, name + "-pairs")
+        common.free_shuffles(self.spark)
         self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         x = self.sets.withColumnsRenamed({"node": "a", "tokens": "x"})
         y = self.sets.withColumnsRenamed({"node": "b", "tokens": "y"})
@@ -283,17 +311,19 @@ class Join:
         star = common.written(members.join(sizes, "node").groupBy("pivot").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("distance").alias("radius")), "radii")
         posts = self.rows.filter("prefix is not null").select("node", "n", "ell", "prefix").join(self.small(members.select("node", "pivot")), "node", "left")
         posts = posts.withColumn("pivot", F.coalesce("pivot", "node")).join(self.small(star.select("pivot", "lo", "hi")), "pivot", "left")
-        posts = posts.select("pivot", "ell", F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"), F.explode("prefix").alias("token"))
-        posts = posts.groupBy("token", "pivot").agg(F.min("ell").alias("ell"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        posts = common.written(posts, "postings")
-        crowded = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK)
-        blocks = common.written(crowded.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "crowded")
-        # Crowded postings are dealt in blocks; a cell is a pair of blocks, so no task gets a long list whole.
-        posts = posts.join(self.small(blocks), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("pivot"), F.col("blocks")).cast("int")
-        posts = posts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        posts = posts.withColumn("cell", F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other"))
-        met = posts.select("token", "cell", "pivot", "ell", "lo", "hi", "mine", "other").repartition(common.partitions(self.spark), "token", "cell").mapInArrow(_meet(self.percent), "a long, b long, need int")
+        meta = F.shiftleft(F.col("ell").cast("long"), 56) + F.shiftleft(F.coalesce("lo", "n"), 28) + F.coalesce("hi", "n")
+        posts = posts.select("pivot", meta.alias("meta"), F.explode("prefix").alias("token"))
+        # Crowded shingles are dealt in cells, pairs of blocks, so no task gets a long list whole.
+        tokens, counts = self.hot.value
+        many = [(int(t), int(-(-n // BLOCK))) for t, n in zip(tokens.view(np.int64), counts, strict=True) if n > BLOCK]
+        crowded = F.broadcast(self.spark.createDataFrame(many, "token long, blocks long"))  # HOT_MOST rows at most
+        posts = posts.join(crowded, "token", "left")
+        mine = F.pmod(F.col("pivot"), F.col("blocks"))
+        other = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.shiftleft(F.col("blocks"), 40) + F.shiftleft(F.least(o, mine), 20) + F.greatest(o, mine))
+        )
+        posts = posts.select("token", F.explode(other).alias("cell"), "pivot", "meta")
+        met = posts.repartition(common.partitions(self.spark), "token", "cell").mapInArrow(_meet(self.percent), "a long, b long, need int")
         pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
         close = self.verified(pairs, "close")
         links = common.written(close.filter(self.similar()).select("a", "b").union(self.star_links.join(members.select(F.col("node").alias("b"), "pivot"), "b").filter("pivot != a").select("a", "b")), "links")
