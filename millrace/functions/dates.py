@@ -9,6 +9,7 @@ import datetime as dt
 import re
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -361,8 +362,6 @@ def parse_time(text: str, now: dt.datetime, zone: str = "UTC") -> dt.datetime |
 
 def free_text(text: Column, now: dt.datetime, zone: str = "UTC") -> Column:
     """A Column of free-text dates as timestamps, null where unreadable. ISO forms don't reach Python."""
-    import pandas as pd
-
     @F.pandas_udf("timestamp")
     def residual(s: pd.Series) -> pd.Series:
         def one(x):

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def decode_entities(text: str) -> str:
 
 def entities(x: Column) -> Column:
     """Decodes entities. Texts without '&' don't leave the JVM's fast path; the common five are replaced there."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def full(s: pd.Series) -> pd.Series:
         return s.map(decode_entities, na_action="ignore")
@@ -115,8 +114,6 @@ def strtr(x: Column, pairs: Mapping[str, str]) -> Column:
         return F.replace(x, F.lit(a), F.lit(b))
     if all(len(a) == 1 and len(b) == 1 for a, b in pairs.items()):
         return F.translate(x, "".join(pairs), "".join(pairs.values()))
-    import pandas as pd
-
     rule = re.compile("|".join(re.escape(k) for k in sorted(pairs, key=len, reverse=True)))
 
     @F.pandas_udf("string")
@@ -187,8 +184,6 @@ def list_to_text(items: Column, separator: str = ", ", conjunction: str = " and
 
 def normalised(x: Column, form: str = "NFC") -> Column:
     """Unicode normal forms; ASCII text is its own and stays in the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")

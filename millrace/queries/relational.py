@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from millrace.operators import transforms as t
 from millrace.operators.aggregates import ORDER, aggregate
 from millrace.queries import query, table
-from millrace.streaming import events  # noqa: F401
 
 
 def _ordered(df: DataFrame, *keys: str) -> DataFrame:
@@ -35,14 +34,14 @@ def aggregate_basic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge,
+SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge,
   CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size
 FROM lineitem WHERE l_discount >= 0.05 AND l_quantity < 40 AND l_returnflag <> 'N'
 """)
 def filter_formula(spark: SparkSession, sf: str) -> DataFrame:
     items = t.filter_(table(spark, sf, "lineitem"), "datum.l_discount >= 0.05 && datum.l_quantity < 40 && datum.l_returnflag != 'N'")
     items = t.formulas(items, {"charge": "datum.l_extendedprice * (1 - datum.l_discount) * (1 + datum.l_tax)", "size": "datum.l_quantity > 25 ? 'big' : 'small'"})
-    return _round(items.select("l_orderkey", "l_linenumber", "charge", "size"), 4, "charge")
+    return _round(items.select("l_orderkey", "l_linenumber", "charge", "size"), 6, "charge")
 
 
 @query("""
@@ -168,7 +167,7 @@ def lookup_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STACK = """
-WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS e,
+WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) AS e,
   sum(l_quantity) OVER (PARTITION BY l_orderkey) AS s FROM lineitem), m AS (SELECT max(s) AS most FROM w)
 SELECT l_orderkey, l_linenumber, {0} FROM w, m
 """
@@ -176,21 +175,21 @@ SELECT l_orderkey, l_linenumber, {0} FROM w, m
 
 def _stack(spark: SparkSession, sf: str, offset: str) -> DataFrame:
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    out = t.stack(items, "l_quantity", ["l_orderkey"], "l_linenumber", offset)
-    return _round(out.drop("l_quantity"), 6, "layout_start", "layout_mid", "layout_end")
+    out = t.stack(items, "l_quantity", ["l_orderkey"], ["l_linenumber", "l_quantity"], offset)
+    return _round(out.drop("l_quantity"), 9, "layout_start", "layout_mid", "layout_end")
 
 
-@query(_STACK.format("round(e - v, 6) AS layout_start, round(e - v / 2, 6) AS layout_mid, round(e, 6) AS layout_end"))
+@query(_STACK.format("round(e - v, 9) AS layout_start, round(e - v / 2, 9) AS layout_mid, round(e, 9) AS layout_end"))
 def stack_zero(spark: SparkSession, sf: str) -> DataFrame:
     return _stack(spark, sf, "zero")
 
 
-@query(_STACK.format("round(e - v + (most - s) / 2, 6) AS layout_start, round(e - v / 2 + (most - s) / 2, 6) AS layout_mid, round(e + (most - s) / 2, 6) AS layout_end"))
+@query(_STACK.format("round(e - v + (most - s) / 2, 9) AS layout_start, round(e - v / 2 + (most - s) / 2, 9) AS layout_mid, round(e + (most - s) / 2, 9) AS layout_end"))
 def stack_center(spark: SparkSession, sf: str) -> DataFrame:
     return _stack(spark, sf, "center")
 
 
-@query(_STACK.format("round((e - v) / s, 6) AS layout_start, round((e - v / 2) / s, 6) AS layout_mid, round(e / s, 6) AS layout_end"))
+@query(_STACK.format("round((e - v) / s, 9) AS layout_start, round((e - v / 2) / s, 9) AS layout_mid, round(e / s, 9) AS layout_end"))
 def stack_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return _stack(spark, sf, "normalize")
 
@@ -277,12 +276,12 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT event_id, user_id FROM events WHERE event_type = 'view'), b AS (SELECT event_id, user_id FROM events WHERE event_type = 'purchase')
+WITH a AS (SELECT event_id, user_id FROM events WHERE event_type = 'view'), b AS (SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0)
 SELECT event_id, user_id FROM a WHERE user_id NOT IN (SELECT user_id FROM b)
 """)
 def modify_remove(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return t.modify(e.filter("event_type = 'view'"), "remove", e.filter("event_type = 'purchase'"), "user_id").drop("event_type")
+    return t.modify(e.filter("event_type = 'view'"), "remove", e.filter("event_type = 'purchase' AND event_id % 40 = 0"), "user_id").drop("event_type")
 
 
 @query("""
