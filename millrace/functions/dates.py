@@ -202,6 +202,13 @@ def _year(y: str) -> int:
 
 def parse_time(text: str, now: dt.datetime, zone: str = "UTC") -> dt.datetime | None:
     """A free-text date as an aware UTC datetime, or None. Fields that the text leaves open come from ``now``."""
+    try:
+        return _parse(text, now, zone)
+    except (ValueError, OverflowError):  # a part is out of range
+        return None
+
+
+def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
     y = m = d = h = None
     mi = s = us = 0
     tz: dt.tzinfo = ZoneInfo(zone)
@@ -364,13 +371,7 @@ def free_text(text: Column, now: dt.datetime, zone: str = "UTC") -> Column:
     """A Column of free-text dates as timestamps, null where unreadable. ISO forms don't reach Python."""
     @F.pandas_udf("timestamp")
     def residual(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return None if x is None else parse_time(x, now, zone)
-            except (ValueError, OverflowError):
-                return None
-
-        return pd.Series([one(x) for x in s], dtype="datetime64[us, UTC]")
+        return pd.Series([None if x is None else parse_time(x, now, zone) for x in s], dtype="datetime64[us, UTC]")
 
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2})?$")
     return F.coalesce(F.when(iso, F.try_to_timestamp(text)), residual(F.when(~iso, text)))

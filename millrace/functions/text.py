@@ -258,7 +258,7 @@ def lua_gsub(x: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(x, lua_pattern(pattern), java)
 
 
-def bit(op: str, a: Column, b: Column | int) -> Column:
+def bit(op: str, a: Column, b: Column | int = 0) -> Column:
     """Unsigned 32-bit operations: band bor bxor bnot lshift rshift arshift lrotate rrotate."""
     mask = F.lit(0xFFFFFFFF)
     x = a.cast("long").bitwiseAND(mask)

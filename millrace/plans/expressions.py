@@ -214,11 +214,7 @@ class Compiler:
             same = self.equal(a, b, strict=len(op) == 3)
             return Value(~same if op[0] == "!" else same, "bool", T.BooleanType())
         if op in ("<", "<=", ">", ">="):
-            x, y = (self.string(a), self.string(b)) if "str" in (a.kind, b.kind) and (self.c.compat or a.kind == b.kind) else (self.number(a), self.number(b))
-            test = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-            if not (a.kind == b.kind == "str"):
-                test = test & ~F.isnan(x.cast("double")) & ~F.isnan(y.cast("double")) if "str" not in (a.kind, b.kind) or not self.c.compat else test
-            return Value(F.coalesce(test, F.lit(False)), "bool", T.BooleanType())
+            return Value(F.coalesce(self.ordered(op, a, b), F.lit(False)), "bool", T.BooleanType())
         if op == "+" and "str" in (a.kind, b.kind):
             return Value(F.concat(self.string(a), self.string(b)), "str", T.StringType())
         if op in ("&", "|", "^", "<<", ">>", ">>>"):
@@ -235,6 +231,32 @@ class Compiler:
             out = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y}[op]()
         return Value(out, "num", T.DoubleType())
 
+    def ordered(self, op: str, a: Value, b: Value) -> Column:
+        """A comparison, null where an operand is; NaN is neither less nor more than anything.
+
+        Spark sorts NaN last, so only the side that would win by it is tested; literals aren't."""
+        text = "str" in (a.kind, b.kind) and (self.c.compat or a.kind == b.kind)
+        x, y = (self.string(a), self.string(b)) if text else (self.number(a), self.number(b))
+        test = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+        larger, v = (y, b) if op[0] == "<" else (x, a)
+        if text or v.literal is not None or isinstance(v.type, (T.IntegralType, T.DecimalType)) or v.kind in ("bool", "date"):
+            return test
+        return test & ~F.isnan(larger)
+
+    def test(self, node: Node) -> Column:
+        """A tree as a filter: null counts as false, so comparisons stay bare and reach the scan."""
+        if node[0] == "bin" and node[1] in ("&&", "||"):
+            x, y = self.test(node[2]), self.test(node[3])
+            return (x & y) if node[1] == "&&" else (x | y)
+        if node[0] == "bin" and node[1] in ("<", "<=", ">", ">="):
+            return self.ordered(node[1], self.compile(node[2]), self.compile(node[3]))
+        if node[0] == "bin" and node[1] in ("==", "===") and any(n[0] in ("num", "str") for n in node[2:]):
+            a, b = self.compile(node[2]), self.compile(node[3])
+            if a.kind == b.kind and a.kind in ("num", "str"):
+                return a.column == b.column
+        v = self.compile(node)
+        return v.column if v.kind == "bool" else self.truthy(v)
+
     def equal(self, a: Value, b: Value, strict: bool = False) -> Column:
         if "null" in (a.kind, b.kind):
             other = b if a.kind == "null" else a
@@ -453,5 +475,4 @@ def column(text: str, context: Context) -> Value:
 
 def condition(text: str, context: Context) -> Column:
     """An expression as a filter condition."""
-    compiler = Compiler(context)
-    return compiler.truthy(compiler.compile(parse(text)))
+    return Compiler(context).test(parse(text))
