@@ -121,7 +121,7 @@ def balance(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[dic
         spec = spark.createDataFrame([(s, low[s], high[s]) for s in size], "q_source string, low double, high double")
         d = _with(sizes, _params(spark, rows())).filter(~F.col("capped")).join(F.broadcast(spec), F.col("source").eqNullSafe(F.col("q_source")))
         d = d.withColumn("rate", _rate()).withColumn("fraction", F.col("rate") - F.floor("rate"))
-        bin_ = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((_place() - F.col("low")) / (F.col("high") - F.col("low")) * BINS))).cast("int")
+        bin_ = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((_place() - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * BINS))).cast("int")
         w = F.col("size")
         bins = d.groupBy("source", bin_.alias("bin")).agg(F.sum(w).alias("n"), F.sum(w * F.floor("rate")).alias("sure")).collect()
         by: dict = {}
