@@ -250,10 +250,12 @@ class Compiler:
             return (x & y) if node[1] == "&&" else (x | y)
         if node[0] == "bin" and node[1] in ("<", "<=", ">", ">="):
             return self.ordered(node[1], self.compile(node[2]), self.compile(node[3]))
-        if node[0] == "bin" and node[1] in ("==", "===") and any(n[0] in ("num", "str") for n in node[2:]):
+        if node[0] == "bin" and node[1] in ("==", "===") and not self.c.compat:
             a, b = self.compile(node[2]), self.compile(node[3])
-            if a.kind == b.kind and a.kind in ("num", "str"):
-                return a.column == b.column
+            if a.kind == b.kind and a.kind in ("num", "str", "bool", "date"):
+                # A bare equality can be a join's key; NaN equals nothing, though Spark says it equals itself.
+                fractional = isinstance(a.type, T.FractionalType) and isinstance(b.type, T.FractionalType) and a.literal is None and b.literal is None
+                return (a.column == b.column) & ~F.isnan(a.column) if fractional else a.column == b.column
         v = self.compile(node)
         return v.column if v.kind == "bool" else self.truthy(v)
 
