@@ -1,8 +1,9 @@
 """Template expansion over tables: each level joins the calls still open with the pages they name.
 
 A level finds the innermost calls (no call inside), looks them all up in one join, and puts their
-text in. It stops when no call is open or at depth 40, as the recursion limit is. Every fourth level
-the table is written to the shared folder, so that the plan doesn't grow with depth."""
+text in. It stops when no call is open or at depth 40, as the recursion limit is. Each level is
+checkpointed where the session has a checkpoint folder, so that the plan doesn't grow with depth;
+elsewhere it is persisted."""
 
 from __future__ import annotations
 
@@ -187,6 +188,10 @@ def _fill(text: str, bodies: Mapping[str, str], page: str, path: list[str]) -> s
     return _INNER.sub(one, text)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def expand(pages: DataFrame, library: DataFrame, variables: Mapping[str, str] | None = None, depth: int = DEPTH) -> DataFrame:
     """(title, text) of pages with calls expanded. ``library`` has title and text of the pages calls may name."""
     from millrace.sources.search import resolve
@@ -210,7 +215,7 @@ def expand(pages: DataFrame, library: DataFrame, variables: Mapping[str, str] |
     texts = library.select(F.col("title").alias("resolved"), F.col("text").alias("body"))
     for _ in range(depth):
         scanned = work.mapInPandas(scan, "title string, text string, path string, wanted array<string>")
-        scanned = scanned.persist()
+        scanned = _cut(scanned)
         calls = scanned.select("title", F.explode("wanted").alias("call"))
         if calls.isEmpty():
             work = scanned.drop("wanted")

@@ -285,6 +285,11 @@ def treeify(df: DataFrame, groupby: list[str], output: str = "values") -> DataFr
     return out
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpointed where the session has a folder for that, persisted elsewhere."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1.0, height: float = 1.0, levels: int = 40) -> DataFrame:
     """Partition layout of a tree given by parent ids: depth, x0, x1 (share of the parent) and y0, y1 of each node.
 
@@ -297,7 +302,7 @@ def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1
     for _ in range(levels):
         up = walk.filter("parent is not null")
         up = up.select(F.col("parent").alias("id"), "v").groupBy("id").agg(F.sum("v").alias("v")).join(nodes.select("id", "parent"), "id")
-        up = up.select("id", "parent", "v").checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else up.cache()
+        up = _cut(up.select("id", "parent", "v"))
         if up.isEmpty():
             break
         sums = sums.union(up.select("id", "v"))
@@ -312,7 +317,7 @@ def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1
         before = F.coalesce(F.sum("c_value").over(part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
         scale = F.try_divide(F.col("x1") - F.col("x0"), F.col("value"))
         level = kids.select(F.col("c_id").alias("id"), F.lit(depth).alias("depth"), (F.col("x0") + before * scale).alias("x0"), (F.col("x0") + (before + F.col("c_value")) * scale).alias("x1"), F.col("c_value").alias("value"))
-        level = level.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else level.cache()
+        level = _cut(level)
         if level.isEmpty():
             break
         out = out.union(level)
