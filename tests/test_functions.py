@@ -103,3 +103,14 @@ def test_tokens():
     assert spans == {4: (11, 3), 0: (13, 2)}
     assert tokens.included("a<noinclude>b</noinclude><includeonly>c</includeonly>", True) == "ac"
     assert tokens.included("a<noinclude>b</noinclude><includeonly>c</includeonly>", False) == "ab"
+
+
+def test_sections():
+    from millrace.markup import sections
+
+    page = 'a<section begin="x" />one<section end="x" />b<section begin=x/>two<section end=x/>c\n== H ==\nin h\n=== Sub ===\ndeep\n== Next ==\nout'
+    assert sections.labelled(page, "x") == "onetwo"
+    assert sections.unlabelled(page, "x", "-").startswith("a-b-c")
+    assert sections.under_heading(page, "h") == "in h\n=== Sub ===\ndeep"
+    assert sections.under_heading(page, "H", "Sub") == "in h"
+    assert sections.under_heading(page, "none") == ""
