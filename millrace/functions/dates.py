@@ -381,3 +381,34 @@ def time_argument(text: Column, now: dt.datetime) -> Column:
     """The date argument of the time function: four digits are a year, empty text is the clock."""
     year = text.rlike(r"^\d{4}$")
     return F.when(F.trim(text) == "", F.lit(now)).when(year, F.make_timestamp(text.try_cast("int"), F.month(F.lit(now)), F.dayofmonth(F.lit(now)), F.lit(0), F.lit(0), F.lit(0))).otherwise(free_text(text, now))
+
+
+# --- zones and auto formats ------------------------------------------------------------------------
+
+
+def in_zone(time: Column, zone: str | Column) -> Column:
+    """The wall clock of a zone at an instant."""
+    return F.from_utc_timestamp(time, zone)
+
+
+def offset_seconds(time: Column, zone: str) -> Column:
+    """Seconds east of UTC of a zone at an instant."""
+    return F.unix_seconds(F.from_utc_timestamp(time, zone)) - F.unix_seconds(time)
+
+
+def is_dst(time: Column, zone: str) -> Column:
+    """Whether a zone is ahead of the lesser of its January and July offsets at an instant."""
+    year = F.year(time)
+    ends = [offset_seconds(F.make_timestamp(year, F.lit(m), F.lit(1), F.lit(12), F.lit(0), F.lit(0)), zone) for m in (1, 7)]
+    return offset_seconds(time, zone) > F.least(*ends)
+
+
+def truncated(time: Column, unit: str) -> Column:
+    """Cut to day, hour, minute, second or millisecond."""
+    return F.date_trunc(unit, time)
+
+
+def auto_format(time: Column) -> Column:
+    """The shortest text that says what a time tick begins: a year, month, day, hour, minute, second or less."""
+    at = lambda unit: F.date_trunc(unit, time) == time
+    return F.when(at("year"), strftime(time, "%Y")).when(at("month"), strftime(time, "%B")).when(at("day") & (F.dayofweek(time) == 1), strftime(time, "%b %d")).when(at("day"), strftime(time, "%a %d")).when(at("hour"), strftime(time, "%I %p")).when(at("minute"), strftime(time, "%I:%M")).when(at("second"), F.concat(F.lit(":"), strftime(time, "%S"))).otherwise(F.concat(F.lit("."), strftime(time, "%L")))

@@ -114,3 +114,16 @@ def test_sections():
     assert sections.under_heading(page, "h") == "in h\n=== Sub ===\ndeep"
     assert sections.under_heading(page, "H", "Sub") == "in h"
     assert sections.under_heading(page, "none") == ""
+
+
+def test_uris_and_zones(spark):
+    from millrace.functions import uri
+
+    row = spark.range(1).select(
+        uri.parts(F.lit("https://u@example.org:81/a/b?x=1&y=a%20b#f")).alias("p"), uri.valid(F.lit("http://e.org/x")).alias("v"), uri.query_map(F.lit("x=1&y=a%20b&x=2&z")).alias("q"), uri.build_query({"a": F.lit("b c"), "n": F.lit(1)}).alias("b"),
+        dates.in_zone(F.lit("2024-07-01 12:00:00").cast("timestamp"), "Europe/Berlin").cast("string").alias("z"), dates.is_dst(F.lit("2024-07-01").cast("timestamp"), "Europe/Berlin").alias("d"), dates.is_dst(F.lit("2024-01-05").cast("timestamp"), "Europe/Berlin").alias("e"),
+        dates.auto_format(F.lit("2024-03-01").cast("timestamp")).alias("f"), dates.auto_format(F.lit("2024-01-01").cast("timestamp")).alias("g"),
+    ).first()
+    assert (row.p.protocol, row.p.user, row.p.host, row.p.port, row.p.path, row.p.query, row.p.fragment) == ("https", "u", "example.org", "81", "/a/b", "x=1&y=a%20b", "f")
+    assert row.v and row.q == {"x": "2", "y": "a b", "z": ""} and row.b == "a=b+c&n=1"
+    assert (row.z, row.d, row.e, row.f, row.g) == ("2024-07-01 14:00:00", True, False, "March", "2024")
