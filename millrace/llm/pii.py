@@ -45,23 +45,44 @@ GENERATORS = {
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:00[1-9]|\(?0?[1-9])[0-9\x20().\-/]{5,18}[0-9](?![0-9])",
 }
+#: What a text must have for a pattern to match at all; cheap scans that spare most texts the patterns.
+_DIGIT = r"[0-9]"
+GATES = {
+    "email": lambda t: t.contains("@"),
+    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
+    "card": lambda t: t.rlike(_DIGIT),
+    "phone": lambda t: t.contains("+"),
+}
+GENERATOR_GATES = {
+    "email": lambda t: t.contains("@") | t.rlike(r"[(\[{<]\x20?(?i:at)") | (t.contains(" at ") & (t.contains(" dot ") | t.rlike(r"\x20at\x20[A-Za-z0-9-]++\x20?(?:\.|[(\[{<])\x20?[A-Za-z0-9]"))),
+    "ip": lambda t: t.rlike(_DIGIT),
+    "card": lambda t: t.rlike(_DIGIT),
+    "phone": lambda t: t.rlike(_DIGIT),
+}
 CONTEXT = r"(?i)(mail|contact|phone|tel|call|fax|mobil|card|visa|iban|credit|pay|addr|host|server|reach|write|kontakt|ruf|correo|contacto|courriel)"
 FEATURES = ["kind", "digits", "letters", "length", "others", "luhn", "brackets", "sign", "before", "after", "context", "groups", "widest", "sentence", "spaces"]
 
 
-def _spans(text: Column, pattern: str) -> Column:
+_NONE = "cast(array() as array<struct<start:int,end:int,match:string,left:string,right:string>>)"
+
+
+def _spans(text: Column, pattern: str, gate: Column) -> Column:
     """array<struct<start, end, match, left, right>>: places in code points, and the text beside each match."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    parts = F.transform(F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"), F.slice(pieces, 2, F.greatest(F.size(matches), F.lit(0))).alias("q")), lambda x: F.struct(x["m"].alias("m"), F.length(x["m"]).alias("n"), F.length(x["p"]).alias("gap"), F.right(x["p"], F.lit(24)).alias("left"), F.substring(x["q"], 1, 2).alias("right")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string,left:string,right:string>>)").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         one = F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["m"].alias("match"), x["left"].alias("left"), x["right"].alias("right")))
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def parts(z: Column) -> Column:
+        gap = lambda i: F.coalesce(F.get(z["p"], i), F.lit(""))
+        return F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), F.length(m).alias("n"), F.length(gap(i)).alias("gap"), F.right(gap(i), F.lit(24)).alias("left"), F.substring(gap(i + 1), 1, 2).alias("right")))
+
+    # An array of one struct binds both results to a name, so that each pattern runs over a text just twice.
+    both = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")))
+    found = F.transform(both, lambda z: F.aggregate(parts(z), zero, step, lambda acc: acc["out"]))
+    return F.when(gate, F.element_at(found, 1)).otherwise(F.expr(_NONE))
 
 
 def _digits(match: Column) -> Column:
@@ -95,7 +116,7 @@ def _valid(kind: str, spans: Column) -> Column:
 def with_base(rows: DataFrame) -> DataFrame:
     """Adds an array a kind of the base spans of column ``text``."""
     for kind in KINDS:
-        rows = rows.withColumn("base_" + kind, _valid(kind, _spans(F.col("text"), BASE[kind])))
+        rows = rows.withColumn("base_" + kind, _valid(kind, _spans(F.col("text"), BASE[kind], GATES[kind](F.col("text")))))
     return rows
 
 
@@ -137,7 +158,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("base_all", base)
     found = []
     for i, kind in enumerate(KINDS):
-        found.append(_proposed(i, F.filter(_spans(F.col("text"), GENERATORS[kind]), lambda s: ~F.exists("base_all", lambda b: _overlaps(s, b)))))
+        found.append(_proposed(i, F.filter(_spans(F.col("text"), GENERATORS[kind], GENERATOR_GATES[kind](F.col("text"))), lambda s: ~F.exists("base_all", lambda b: _overlaps(s, b)))))
     return rows.withColumn("candidates", F.concat(*found))
 
 
