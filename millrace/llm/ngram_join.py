@@ -14,6 +14,9 @@ Texts become sets of word shingles (64-bit hashes). Equal sets are one node; all
   star. As 1 - Jaccard is a metric, two leaders farther apart than the threshold plus both stars'
   radii have no link between members; what is neither linked nor ruled out is settled by members
   against the other leader, then by the pairs of members that the triangle inequality leaves.
+* Bounds. Before sets are fetched, pairs meet as bitmaps of token parities, about a thirtieth of the sets:
+  the bits in which two differ are at most the tokens that only one has, which bounds the similarity from
+  above. Each star's likeliest partner is verified first; pairs that are joined by then need no proof.
 * Groups. Links between leaders are joined into components by minimum labels and pointer jumping.
 
 Words are runs of characters that aren't white space, A-Z lower-cased; texts with fewer words than a
@@ -51,7 +54,7 @@ SMALL = 200_000
 BLOCK = 1024
 
 _U = np.uint64
-SETS = "doc_id long, n long, node long, keys array<long>, ell int, prefix array<long>"
+SETS = "doc_id long, n long, node long, keys array<long>, ell int, prefix array<long>, bits binary"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -134,6 +137,48 @@ def choose(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: int
     return ell, tokens[: n - least + ell]
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of tokens by hash, in a power of two of bits, at least two a token."""
+    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens >> _U(64 - (size.bit_length() - 1))).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the number of tokens that only one of two sets has: bits that differ.
+
+    Bits of the larger bitmap are folded, by exclusive or of neighbours, to the size of the smaller: tokens are
+    placed by leading bits of their hash, so a fold is what the smaller size would have made."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        bits = np.unpackbits(x).reshape(len(y) * 8, -1)
+        x = np.packbits(np.bitwise_xor.reduce(bits, axis=1))
+    return int(_ONES[x ^ y].sum(dtype=np.int64))
+
+
+def _bounded(percent: int):
+    """Keeps the pairs that may be similar by their bitmaps, with an upper bound of their similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
+            kept, bound = [], []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                both = na[i] + nb[i]
+                d = max(apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)), abs(na[i] - nb[i]))
+                most = (both - d) // 2
+                if 100 * most >= percent * (both - most):
+                    kept.append(i), bound.append(most / (both - most))
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(bound, pa.float64())], names=["a", "b", "bound"])
+
+    return run
+
+
 def _prepare(hot, width: int, percent: int):
     edges = (np.arange(2 * KEYS, dtype=_U) * _U((1 << 64) // (2 * KEYS))).astype(_U)
 
@@ -141,23 +186,23 @@ def _prepare(hot, width: int, percent: int):
         tokens, counts = hot.value
         seen: set[int] = set()  # 8 bytes of hash a node; a task needn't send a prefix twice
         for batch in batches:
-            n, node, keys, ells, prefixes = [], [], [], [], []
+            n, node, keys, ells, prefixes, bits = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), keys.append(None), ells.append(None), prefixes.append(None)
+                    node.append(None), keys.append(None), ells.append(None), prefixes.append(None), bits.append(None)
                     continue
                 own = vec.set_hash(s)
                 node.append(own)
                 if own in seen:
-                    keys.append(None), ells.append(None), prefixes.append(None)
+                    keys.append(None), ells.append(None), prefixes.append(None), bits.append(None)
                     continue
                 seen.add(own)
                 first = np.append(s, _U(0))[np.searchsorted(s, edges)]
                 keys.append(vec.window_hashes(first, 2)[::2].view(np.int64))
                 ell, prefix = choose(s, tokens, counts, percent)
-                ells.append(ell), prefixes.append(prefix.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "keys", "ell", "prefix"])
+                ells.append(ell), prefixes.append(prefix.view(np.int64)), bits.append(bitmap(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "keys", "ell", "prefix", "bits"])
 
     return run
 
@@ -286,7 +331,17 @@ class Join:
         self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         x = self.sets.withColumnsRenamed({"node": "a", "tokens": "x"})
         y = self.sets.withColumnsRenamed({"node": "b", "tokens": "y"})
-        return common.written(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, common long, total long"), name)
+        with common.batches_of(self.spark, 256):
+            return common.written(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, common long, total long"), name)
+
+    def bounded(self, pairs: DataFrame, name: str, slack: float = 0.0) -> DataFrame:
+        """(a, b, bound) of the pairs whose bitmaps leave room for a similarity of ``percent``, less ``slack``."""
+        bits = self.rows.filter("bits is not null").select("node", "n", "bits")
+        x, y = bits.withColumnsRenamed({"node": "a", "n": "na", "bits": "x"}), bits.withColumnsRenamed({"node": "b", "n": "nb", "bits": "y"})
+        least = max(0, math.floor(self.percent - 100 * slack))
+        with common.batches_of(self.spark, 2048):
+            kept = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(_bounded(least), "a long, b long, bound double")
+            return common.written(kept.distinct(), name)
 
     def similar(self):
         return F.col("common") * 100 >= F.col("total") * self.percent
@@ -325,11 +380,28 @@ class Join:
         posts = posts.select("token", F.explode(other).alias("cell"), "pivot", "meta")
         met = posts.repartition(common.partitions(self.spark), "token", "cell").mapInArrow(_meet(self.percent), "a long, b long, need int")
         pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
-        close = self.verified(pairs, "close")
-        links = common.written(close.filter(self.similar()).select("a", "b").union(self.star_links.join(members.select(F.col("node").alias("b"), "pivot"), "b").filter("pivot != a").select("a", "b")), "links")
-        doubt = close.filter(~self.similar()).withColumn("distance", 1 - F.col("common") / F.col("total"))
+        # Stars of one node each link only if similar themselves; larger ones need more room.
+        reach = star.agg(F.max("radius")).first()[0] or 0.0
+        near = self.bounded(pairs, "near", 2 * reach)
+        own = star.select(F.col("pivot").alias("node"), "radius")
+        for side in "ab":
+            near = near.join(self.small(own.withColumnsRenamed({"node": side, "radius": "r" + side})), side, "left").fillna(0.0, ["r" + side])
+        near = common.written(near.filter(F.col("bound") >= self.percent / 100 - F.col("ra") - F.col("rb") - 1e-9), "near")
+        common.free_shuffles(self.spark)
+        links = common.written(self.star_links.join(members.select(F.col("node").alias("b"), "pivot"), "b").filter("pivot != a").select("a", "b"), "links")
+        # First each star's likeliest partner; what is then joined needs no further proof.
+        ends = near.select(F.explode(F.array("a", "b")).alias("end"), F.struct("bound", "a", "b").alias("pair"))
+        first = ends.groupBy("end").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+        close = self.verified(first, "close")
+        links = common.written(links.union(close.filter(self.similar()).select("a", "b")), "links")
+        labels = self.labels(links)
+        side = lambda c: labels.select(F.col("pivot").alias(c), F.col("label").alias("l" + c))
+        rest = near.join(close.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        rest = self.verified(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")
+        links = common.written(links.union(rest.filter(self.similar()).select("a", "b")), "links")
+        doubt = close.union(rest).filter(~self.similar()).withColumn("distance", 1 - F.col("common") / F.col("total"))
         for side in "ab":
-            doubt = doubt.join(self.small(star.select(F.col("pivot").alias(side), F.col("radius").alias("r" + side))), side, "left").fillna(0.0, ["r" + side])
+            doubt = doubt.join(self.small(own.withColumnsRenamed({"node": side, "radius": "r" + side})), side, "left").fillna(0.0, ["r" + side])
         slack = 1e-9
         bound = 1 - self.percent / 100 + slack
         doubt = common.written(doubt.filter((F.col("ra") + F.col("rb") > 0) & (F.col("distance") <= bound + F.col("ra") + F.col("rb"))), "doubt")
