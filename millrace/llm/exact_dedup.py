@@ -32,9 +32,13 @@ from millrace.llm import common
 
 WINDOW_BYTES = 32 << 20
 WINDOW_ROWS = 200_000
-BUCKET_BYTES = 8 << 20
-OWNER_BYTES = 32 << 20
-#: Beyond this depth the directory is joined, not broadcast: at most 2**18 cells are.
+#: A bucket's capacity, at most; smaller where that gives each owner task several buckets.
+BUCKET_BYTES = 64 << 20
+BUCKET_LEAST = 16 << 10
+OWNER_BYTES = 128 << 20
+BUCKETS_PER_OWNER = 16
+#: The directory has at most 2 ** DEEPEST cells; it is joined by broadcast, at most 16 MB, up to BROADCAST_DEPTH.
+DEEPEST = 22
 BROADCAST_DEPTH = 18
 
 _DELETED = common.SPACES.encode()
@@ -121,13 +125,12 @@ class Directory:
         self.depth = 0
         self.sizes: dict[tuple[int, int], int] = {}
 
-    def cells(self, owner_bytes: int = OWNER_BYTES) -> list[tuple[int, int, int]]:
-        """(cell, bucket, owner) over 2 ** depth cells; owners are ranges of about owner_bytes."""
-        out, total = [], 0
-        for bucket, ((d, p), size) in enumerate(sorted(self.sizes.items(), key=lambda x: x[0][1] << (62 - x[0][0]))):
+    def cells(self) -> list[tuple[int, int]]:
+        """(cell, bucket) over 2 ** depth cells; buckets count up along the key range."""
+        out = []
+        for bucket, (d, p) in enumerate(sorted(self.sizes, key=lambda x: x[1] << (62 - x[0]))):
             wide = self.depth - d
-            out += [((p << wide) + k, bucket, total // owner_bytes) for k in range(1 << wide)]
-            total += size
+            out += [((p << wide) + k, bucket) for k in range(1 << wide)]
         return out
 
 
@@ -135,33 +138,36 @@ def _prefix(bits: int):
     return F.shiftrightunsigned(F.col("h") + F.lit(0), 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int = BUCKET_BYTES, step: int = 6, deepest: int = 48) -> Directory:
-    """Splits overfull buckets until none is, or until all that a bucket holds has one hash."""
+def directory(entries: DataFrame, capacity: int = BUCKET_BYTES, step: int = 6, deepest: int = DEEPEST) -> Directory:
+    """Splits overfull buckets until what each holds beside its heaviest hash fits.
+
+    Entries of one hash can't be parted by more bits; they overflow their bucket, as chains do, so the directory
+    doesn't double for their sake. It has at most 2 ** deepest cells; buckets still overfull then stay so."""
     found = Directory()
+    by_hash = entries.groupBy("h").agg(F.sum("n_bytes").alias("n"))
     todo = {(0, 0): -1}
     while todo:
         depth = next(iter(todo))[0]
-        fine = depth + step
-        some = entries.select("h", "n_bytes")
+        fine = min(depth + step, deepest)
+        some = by_hash
         if depth:
             over = entries.sparkSession.createDataFrame([(p,) for _, p in todo], "over long")
-            some = some.withColumn("over", _prefix(depth)).join(over, "over", "left_semi")
-        rows = some.groupBy(_prefix(fine).alias("p")).agg(F.sum("n_bytes").alias("n"), (F.min("h") == F.max("h")).alias("one")).collect()
-        counts = {r.p: (r.n, r.one) for r in rows}
-        todo_next = {}
-        levels: list[dict[int, tuple[int, bool]]] = [{} for _ in range(step + 1)]
-        levels[step] = counts
-        for k in range(step - 1, -1, -1):
-            for p, (n, _) in levels[k + 1].items():
-                m, _ = levels[k].get(p >> 1, (0, False))
-                levels[k][p >> 1] = (m + n, False)
+            some = some.withColumn("over", _prefix(depth)).join(F.broadcast(over), "over", "left_semi")
+        rows = some.groupBy(_prefix(fine).alias("p")).agg(F.sum("n").alias("n"), F.max("n").alias("top")).collect()
+        levels: list[dict[int, tuple[int, int]]] = [{} for _ in range(fine - depth + 1)]
+        levels[-1] = {r.p: (r.n, r.top) for r in rows}
+        for k in range(fine - depth - 1, -1, -1):
+            for p, (n, top) in levels[k + 1].items():
+                m, other = levels[k].get(p >> 1, (0, 0))
+                levels[k][p >> 1] = (m + n, max(top, other))
+        todo_next: dict[tuple[int, int], int] = {}
 
         def place(k: int, p: int) -> None:
-            n, one = levels[k].get(p, (0, True))
-            if n <= capacity or one or depth + k >= deepest:
+            n, top = levels[k].get(p, (0, 0))
+            if n - top <= capacity or depth + k >= deepest:
                 found.sizes[depth + k, p] = n
                 found.depth = max(found.depth, depth + k)
-            elif k == step:
+            elif depth + k == fine:
                 todo_next[fine, p] = n
             else:
                 place(k + 1, 2 * p)
@@ -222,12 +228,15 @@ def _owner(schema: pa.Schema, columns: list[str], text_column: str, id_column: s
 def _owned(docs: DataFrame, id_column: str, text_column: str, rows: bool) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     entries = index_entries(docs, id_column, text_column)
-    found = directory(entries)
-    cells = spark.createDataFrame(found.cells(), "cell long, bucket long, owner long")
+    total = entries.agg(F.sum("n_bytes")).first()[0] or 0
+    owners = max(common.partitions(spark), -(-total // OWNER_BYTES))
+    # Owners get several buckets each by hash of the bucket, so that their loads even out.
+    found = directory(entries, min(BUCKET_BYTES, max(BUCKET_LEAST, total // (BUCKETS_PER_OWNER * owners))))
+    cells = spark.createDataFrame(found.cells(), "cell long, bucket long")
     if found.depth <= BROADCAST_DEPTH:
         cells = F.broadcast(cells)
     routed = entries if rows else entries.select(*{id_column: 0, text_column: 0}, *(n for n, _ in ENTRY))
-    routed = routed.withColumn("cell", _prefix(found.depth)).join(cells, "cell").repartition(common.partitions(spark), "owner").sortWithinPartitions("bucket")
+    routed = routed.withColumn("cell", _prefix(found.depth)).join(cells, "cell").repartition(owners, "bucket").sortWithinPartitions("bucket")
     out = docs.schema if rows else T._parse_datatype_string(ASSIGNED)
     return entries, routed.mapInArrow(_owner(to_arrow_schema(out), routed.columns, text_column, id_column, rows), out)
 

@@ -76,6 +76,8 @@ def test_directory_doubles(spark):
     entries = spark.range(20000).select(F.xxhash64("id").alias("h"), F.lit(100).cast("long").alias("n_bytes"))
     d = exact_dedup.directory(entries, capacity=50_000)
     assert sum(d.sizes.values()) == 2_000_000 and max(d.sizes.values()) <= 50_000
+    hot = entries.union(spark.range(1000).select(F.lit(77).cast("long"), F.lit(100_000).cast("long")))
+    assert exact_dedup.directory(hot, capacity=50_000).depth <= d.depth + 2  # one heavy hash doesn't double it
     cells = d.cells()
     assert len(cells) == 2**d.depth and sorted(c[0] for c in cells) == list(range(2**d.depth))
 
