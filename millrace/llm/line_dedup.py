@@ -46,8 +46,9 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), "key").alias("h2"), "d1", "d2", "pos")
     ranged = hashed.repartitionByRange(max(2, common.partitions(spark)), "h1", "h2", "d1", "d2").sortWithinPartitions("h1", "h2", "d1", "d2", "pos")
     occurrences = common.written(ranged.withColumn("first", F.row_number().over(W.partitionBy("h1", "h2", "d1", "d2").orderBy("pos")) == 1), "lines")
+    # Written, so that the join below deals both sides anew and adaptive execution may split a key.
     common_keys = occurrences.filter("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    dropped = occurrences.join(common_keys.select("h1", "h2"), ["h1", "h2"])
+    dropped = occurrences.join(common.written(common_keys.select("h1", "h2"), "common-lines"), ["h1", "h2"])
     by_doc = dropped.groupBy("d1", "d2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     last = F.size("gone")
     runs = F.transform(
