@@ -2,10 +2,12 @@
 
 1. A character trigram model is counted over all documents (letters folded to a-z, one class for
    other letters, one for word boundaries). Only the table of counts reaches the driver.
-2. Suspicious tokens (digits or symbols among letters, a letter three times or more in a row, letters
-   set apart by spaces or dots) become lattices of what may have been meant, each choice with a
-   channel probability; Viterbi decoding under the character model picks the reading. Plain words
-   are their own only path.
+2. Suspicious tokens (with digits or symbols that may stand for letters, a letter three times or more
+   in a row, letters set apart by dots) become lattices of what may have been meant, each choice with
+   a channel probability; Viterbi decoding under the character model picks the reading. Plain words
+   are their own only path. Runs of three or more single letters, digits or symbols set apart by
+   spaces, punctuation around them aside, become one lattice with or without a word's end at each
+   gap. Neither has a greatest length nor a least share of letters.
 3. A logistic model scores the restored text by the words it has. It is fitted on a bounded sample of
    labelled rows (``PER_CLASS`` documents a label at most, by hash): words that toxic texts have
    clearly more often become features, ridge-regularised Newton steps set their weights, and the
@@ -29,8 +31,8 @@ from millrace.llm import common, vec
 
 PER_CLASS = 3000
 MOST_FEATURES = 400
-LONGEST = 24
 CACHE = 200_000
+CACHED = 64  # bytes of a token whose reading is kept
 
 SYMBOLS = 28
 _SYMBOL = np.zeros(256, np.uint8)
@@ -40,6 +42,8 @@ _LETTER = _SYMBOL > 0
 _LETTER[128:] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[97:123] = _PLAIN[65:91] = True
+_WORD = _LETTER.copy()
+_WORD[48:58] = True
 
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -49,7 +53,7 @@ _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in LEET if ord(c) < 128]] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in APART if ord(c) < 128]] = True
-STANDS, LEFT_OUT, FEWER, BOUNDARY = math.log(0.5), math.log(0.3), math.log(0.4), math.log(0.05)
+STANDS, LEFT_OUT, FEWER, BOUNDARY, WITHIN, GAP = math.log(0.5), math.log(0.3), math.log(0.4), math.log(0.05), math.log(0.8), math.log(0.2)
 
 
 # --- character model ---------------------------------------------------------------------------
@@ -112,6 +116,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             out.append([(x * m, STANDS * k) for x in LEET[c] for m in {k, 1 if k > 2 else k}] + [(" ", BOUNDARY)])
         elif c in APART:
             out.append([("", LEFT_OUT), (" ", BOUNDARY)])
+        elif c == " ":
+            out.append([("", WITHIN), (" ", GAP)])
         else:
             out.append([(" ", 0.0)])
         i = j
@@ -125,9 +131,10 @@ def _code(c: str) -> int:
 def decode(token: str, model: CharacterModel) -> str:
     """The likeliest reading of a token, lower-cased; a space stands for a word boundary."""
     log = model.log
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # What was read is a chain of (before, text), which paths share, so that the time is linear in the length.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in [*lattice(token.lower()), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, read) in states.items():
             for text, p in choices:
                 x, y, s = a, b, score + p
@@ -136,9 +143,14 @@ def decode(token: str, model: CharacterModel) -> str:
                     s += log[x][y][z]
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, read + text)
+                    new[x, y] = (s, (read, text))
         states = new
-    return max(states.values())[1].strip()
+    read = max(states.values(), key=lambda v: v[0])[1]
+    parts = []
+    while read is not None:
+        read, text = read
+        parts.append(text)
+    return "".join(reversed(parts)).strip()
 
 
 # --- words of a block ---------------------------------------------------------------------------
@@ -153,19 +165,28 @@ def suspicious(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return total[ends] - total[starts]
 
     length = ends - starts
-    letters = count(_LETTER[block])
     leet = count(_LEET[block])
     inner = np.zeros(len(block), bool)
     if len(block) > 2:
-        inner[1:-1] = (_LEET | _APART)[block[1:-1]] & (_LETTER | _LEET)[block[:-2]] & _LETTER[block[2:]]
+        inner[1:-1] = _APART[block[1:-1]] & (_LETTER | _LEET)[block[:-2]] & (_LETTER | _LEET)[block[2:]]
     s = _SYMBOL[block]
     triple = np.zeros(len(block), bool)
     if len(block) > 2:
         triple[2:] = (s[2:] > 0) & (s[2:] < 27) & (s[2:] == s[1:-1]) & (s[2:] == s[:-2])
     # A run that began in an earlier token can't count: white space has symbol 0.
-    first = _LEET[block[starts]] & (letters > 0) & (leet < length) if len(starts) else np.zeros(0, bool)
-    tail = _LEET[block[ends - 1]] & (letters > 1) & (leet <= 2) & (block[ends - 1] != ord("!")) & (block[ends - 1] != ord("|")) if len(starts) else first
-    return ((count(inner) > 0) | (count(triple) > 0) | first | tail) & (length <= LONGEST) & (letters > 0) & (2 * leet <= length + 1)
+    last = block[ends - 1] if len(starts) else np.zeros(0, np.uint8)
+    closing = (last == ord("!")) | (last == ord("|"))  # alone they end a sentence or a cell
+    return (count(inner) > 0) | (count(triple) > 0) | ((leet > closing) & (length > 1))
+
+
+def singles(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each token the place of its only letter, digit or symbol that may be one, punctuation around it aside; -1 if it has more or none."""
+    places = np.flatnonzero(_WORD[block])
+    lo, hi = np.searchsorted(places, starts), np.searchsorted(places, ends)
+    at = np.where((ends - starts == 1) & _LEET[block[starts]], starts, -1) if len(starts) else np.zeros(0, np.int64)
+    one = hi - lo == 1
+    at[one] = places[lo[one]]
+    return at
 
 
 class Reader:
@@ -177,9 +198,11 @@ class Reader:
     def restored(self, token: str) -> list[int]:
         found = self.cache.get(token)
         if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[token] = [vec.text_hash(w) for w in decode(token, self.model).split(" ") if w]
+            found = [vec.text_hash(w) for w in decode(token, self.model).split(" ") if w]
+            if len(token) <= CACHED:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[token] = found
         return found
 
     def words(self, block: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +220,15 @@ class Reader:
         for k in odd:
             for h in self.restored(raw[starts[k] : ends[k]].decode(errors="replace")):
                 more.append(h), more_of.append(doc[k])
-        # Letters set apart by spaces: runs of three or more one-letter tokens of a document.
-        single = (ends - starts == 1) & _PLAIN[block[starts]] if len(starts) else np.zeros(0, bool)
+        # Letters set apart by spaces: runs of three or more tokens of one letter of a document.
+        core = singles(block, starts, ends)
+        single = core >= 0
         if single.any():
             edge = np.diff(np.concatenate([[0], single.view(np.int8), [0]]))
             for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
                 for x, y in self._parts(doc, a, b):
-                    if 3 <= y - x <= LONGEST:
-                        for h in self.restored(block[starts[x:y]].tobytes().decode()):
+                    if y - x >= 3:
+                        for h in self.restored(" ".join(block[core[x:y]].tobytes().decode())):
                             more.append(h), more_of.append(doc[x])
         if more:
             hashes.append(np.array(more, np.uint64)), of.append(np.array(more_of, np.int64))

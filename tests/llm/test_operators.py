@@ -347,6 +347,24 @@ def test_toxicity(spark, sf, odd, empty):
     assert toxicity.toxicity(empty, labels.limit(0), held).count() == 0
 
 
+def test_toxicity_reads_long_dense_and_spaced(spark, sf):
+    """Words stretched, dotted, spaced or disguised beyond any length or share of letters are read."""
+    import numpy as np
+
+    from millrace.llm import vec
+
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    reader = toxicity.Reader(toxicity.corpus_model(docs.select("text")))
+    cases = {
+        "5h17": "shit", "$h!7": "shit", "1d1075": "idiot", "st" + "u" * 60 + "pid": "stupid", "m" + "o" * 40 + "r.o.n": "moron", "x.y.z.x.y.z.x.y.z.x.y.z.m0r0n!": "moron",
+        "i d i o t.": "idiot", "i d i o t!": "idiot", '"i d i o t"': "idiot", "a s t u p i d i d i o t": "idiot", "1 d i 0 t": "idiot", "w o r t h l e s s m o r o n s t u p i d l o s e r": "loser",
+    }
+    for text, want in cases.items():
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert vec.text_hash(want) in reader.words(data, np.array([0, len(data)]))[1].tolist(), text
+    assert toxicity.decode(" ".join("idiot" * 20000), reader.model).count("diot") > 10000  # linear in the length
+
+
 def brute_pii(t):
     def luhn(s):
         return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(s))) % 10 == 0
