@@ -2,9 +2,12 @@
 
 Base spans are the leftmost non-overlapping matches of one pattern a kind that pass the kind's check
 (IP parts, Luhn, digit counts). Generators with high recall then propose further, overlapping spans
-of obfuscated or unusual form. Gradient-boosted trees score each by its format and context; scores
-are calibrated, each kind has its threshold, and of overlapping accepted spans the likeliest stays.
-Base spans always stay and push out what overlaps them.
+of obfuscated or unusual form: e-mail and IP forms from every start, by lookahead, e-mails with each
+number of labels, and for cards and phones every range of the digit groups of a run of them, so that
+a number beside another or beside a base span is proposed by itself. Gradient-boosted trees score
+each by its format and context; scores are calibrated, each kind has its threshold, and overlapping
+accepted spans are taken likeliest first, the longer first if equally likely. Base spans always stay
+and push out what overlaps them.
 
 Spark gives matches without places. A text split by the same pattern gives what stands between the
 matches, so places are running sums of lengths in code points. The patterns here are the contract's,
@@ -39,12 +42,22 @@ BASE = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_LOCAL = r"[A-Za-z0-9._%+-]{1,64}+\x20?(?:[(\[{<]\x20?(?i:at)\x20?[)\]}>]|(?<=\x20)at(?=\x20)|@)\x20?[A-Za-z0-9-]{1,63}+"
+_LABEL = r"(?:\x20?(?:\.|[(\[{<]\x20?(?i:dot)\x20?[)\]}>]|(?<=\x20)dot(?=\x20))\x20?[A-Za-z0-9-]{1,63}+)"
+LABELS = 5
+#: Looked for from every start.
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[(\[{<]\x20?(?i:at)\x20?[)\]}>]|(?<=\x20)at(?=\x20)|@)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[(\[{<]\x20?(?i:dot)\x20?[)\]}>]|(?<=\x20)dot(?=\x20))\x20?[A-Za-z0-9-]{1,63}+){1,5}+",
+    "email": rf"(?<![A-Za-z0-9._%+-]){_LOCAL}{_LABEL}{{1,{LABELS}}}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?[\[({]?(?:\.|dot)[\])}]?\x20?[0-9]{1,3}+){3}(?![0-9.])",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:00[1-9]|\(?0?[1-9])[0-9\x20().\-/]{5,18}[0-9](?![0-9])",
 }
+#: Digit groups in a row; each range of them that is whole a card's or a phone's form is proposed.
+RUN = r"\(?[0-9]++(?:[\x20().\-/_]++[0-9]++)*+"
+RANGES = {
+    "card": r"^[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}$",
+    "phone": r"^(?:00[1-9]|\(?0?[1-9])[0-9\x20().\-/]{5,18}[0-9]$",
+}
+#: What these two forms imply: no longer range or one of more groups matches, nor a run that is shorter.
+WIDEST, MOST_GROUPS, SHORTEST = 55, 19, 7
 #: What a text must have for a pattern to match at all; cheap scans that spare most texts the patterns.
 _DIGIT = r"[0-9]"
 GATES = {
@@ -56,8 +69,6 @@ GATES = {
 GENERATOR_GATES = {
     "email": lambda t: t.contains("@") | t.rlike(r"[(\[{<]\x20?(?i:at)") | (t.contains(" at ") & (t.contains(" dot ") | t.rlike(r"\x20at\x20[A-Za-z0-9-]++\x20?(?:\.|[(\[{<])\x20?[A-Za-z0-9]"))),
     "ip": lambda t: t.rlike(_DIGIT),
-    "card": lambda t: t.rlike(_DIGIT),
-    "phone": lambda t: t.rlike(_DIGIT),
 }
 CONTEXT = r"(?i)(mail|contact|phone|tel|call|fax|mobil|card|visa|iban|credit|pay|addr|host|server|reach|write|kontakt|ruf|correo|contacto|courriel)"
 FEATURES = ["kind", "digits", "letters", "length", "others", "luhn", "brackets", "sign", "before", "after", "context", "groups", "widest", "sentence", "spaces"]
@@ -85,6 +96,88 @@ def _spans(text: Column, pattern: str, gate: Column) -> Column:
     return F.when(gate, F.element_at(found, 1)).otherwise(F.expr(_NONE))
 
 
+def _beside(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The 24 code points before a place and the two after one."""
+    return F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24))), F.substring(text, end + 1, F.lit(2))
+
+
+def _every_start(text: Column, pattern: str, gate: Column) -> Column:
+    """As _spans, but of the match at every start, overlapping ones too: a lookahead consumes nothing."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        left, right = _beside(text, start, start + F.length(x["m"]))
+        one = F.array(F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("match"), left.alias("left"), right.alias("right")))
+        return F.struct(start.alias("at"), F.concat(acc["out"], one).alias("out"))
+
+    def parts(z: Column) -> Column:
+        # A text is not split at its very start, so a match there has no part before it.
+        first = F.size(z["p"]) - F.size(z["m"]) - 1
+        return F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), F.when(i + first < 0, 0).otherwise(F.length(F.get(z["p"], i + first))).alias("gap")))
+
+    both = F.array(F.struct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)).alias("m"), F.split(text, f"(?={pattern})", -1).alias("p")))
+    found = F.transform(both, lambda z: F.aggregate(parts(z), zero, step, lambda acc: acc["out"]))
+    return F.when(gate, F.element_at(found, 1)).otherwise(F.expr(_NONE))
+
+
+def _emails(text: Column) -> Column:
+    """From every start, the span with each number of labels."""
+
+    def prefixes(s: Column) -> Column:
+        cut = F.array(*[F.regexp_extract(s["match"], f"^{_LOCAL}{_LABEL}{{{n}}}+", 0) for n in range(1, LABELS + 1)])
+
+        def span(m: Column) -> Column:
+            right = F.substring(F.concat(F.substring(s["match"], F.length(m) + 1, F.lit(2)), s["right"]), 1, 2)
+            return F.struct(s["start"].alias("start"), (s["start"] + F.length(m)).alias("end"), m.alias("match"), s["left"].alias("left"), right.alias("right"))
+
+        return F.transform(F.filter(F.array_distinct(cut), lambda m: m != ""), span)
+
+    return F.flatten(F.transform(_every_start(text, GENERATORS["email"], GENERATOR_GATES["email"](text)), prefixes))
+
+
+def _runs(text: Column) -> Column:
+    """array<struct<start, end, match, left, right, paren>>: the ranges of digit groups that may be a card or a phone; with ``paren``, a bracket stands before."""
+    runs = F.filter(_spans(text, RUN, text.rlike(_DIGIT)), lambda r: F.length(r["match"]) >= SHORTEST)
+
+    def ranges(run: Column, groups: Column) -> Column:
+        def start(g: Column, i: Column) -> Column:
+            # What may be looked at from this start on: 24 before it, the widest range, two after.
+            lead = F.least(g["start"], F.lit(24))
+            window = F.substring(run["match"], g["start"] - lead + 1, lead + WIDEST + 2)
+
+            def span(w: Column, h: Column) -> Column:
+                n = h["end"] - g["start"]
+                left = F.right(F.concat(run["left"], F.substring(w, F.lit(1), lead)), F.lit(24))
+                right = F.substring(F.concat(F.substring(w, lead + n + 1, F.lit(2)), run["right"]), 1, 2)
+                return F.struct((run["start"] + g["start"]).alias("start"), (run["start"] + h["end"]).alias("end"), F.substring(w, lead + 1, n).alias("match"), left.alias("left"), right.alias("right"))
+
+            near = F.filter(F.slice(groups, i + 1, F.lit(MOST_GROUPS)), lambda h: (h["end"] - g["start"]).between(SHORTEST - 1, WIDEST))
+            return F.element_at(F.transform(F.array(window), lambda w: F.transform(near, lambda h: span(w, h))), 1)
+
+        return F.flatten(F.transform(groups, start))
+
+    bound = F.transform(runs, lambda r: F.struct(r.alias("r"), _spans(r["match"], "[0-9]+", F.lit(True)).alias("g")))
+    return F.flatten(F.transform(bound, lambda z: ranges(z["r"], z["g"])))
+
+
+def _bracketed(s: Column) -> Column:
+    """The span with the bracket before it, where that has a phone's form."""
+    wide = F.concat(F.lit("("), s["match"])
+    more = F.struct((s["start"] - 1).alias("start"), s["end"].alias("end"), wide.alias("match"), F.substring(s["left"], F.lit(1), F.length(s["left"]) - 1).alias("left"), s["right"].alias("right"))
+    return F.when(s["left"].endswith("(") & wide.rlike(RANGES["phone"]), more).otherwise(s)
+
+
+def _generated(kind: str) -> Column:
+    if kind == "email":
+        return _emails(F.col("text"))
+    if kind == "ip":
+        return _every_start(F.col("text"), GENERATORS["ip"], GENERATOR_GATES["ip"](F.col("text")))
+    if kind == "card":
+        return F.filter("ranges", lambda s: s["match"].rlike(RANGES["card"]))
+    return F.filter(F.transform("ranges", _bracketed), lambda s: s["match"].rlike(RANGES["phone"]) & ~s["left"].rlike("[0-9A-Za-z+]$"))
+
+
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -153,12 +246,12 @@ def _proposed(kind: int, spans: Column) -> Column:
 
 
 def with_candidates(rows: DataFrame) -> DataFrame:
-    """Adds ``candidates``: proposed spans with features, none that overlaps a base span."""
+    """Adds ``candidates``: proposed spans with features, none that overlaps a base span; what lies beside one is proposed by itself."""
     base = F.concat(*[F.col("base_" + k) for k in KINDS])
-    rows = rows.withColumn("base_all", base)
+    rows = rows.withColumn("base_all", base).withColumn("ranges", _runs(F.col("text")))
     found = []
     for i, kind in enumerate(KINDS):
-        found.append(_proposed(i, F.filter(_spans(F.col("text"), GENERATORS[kind], GENERATOR_GATES[kind](F.col("text"))), lambda s: ~F.exists("base_all", lambda b: _overlaps(s, b)))))
+        found.append(_proposed(i, F.filter(_generated(kind), lambda s: ~F.exists("base_all", lambda b: _overlaps(s, b)))))
     return rows.withColumn("candidates", F.concat(*found))
 
 
@@ -313,7 +406,7 @@ def _templates(n: int, seed: int = 5) -> list[tuple[str, str, int]]:
     for i in range(n):
         label = i % 2
         left = f"{word()} {word()} " + (r.choice(hints) + r.choice([" ", ": "]) if r.random() < (0.5 if label else 0.1) else "")
-        right = r.choice([".", ",", " " + word(), "", "\n" + word()])
+        right = r.choice([".", ",", " " + word(), "", "\n" + word(), ". " + word().title()])
         out.append((left, r.choice(good if label else bad)(), right, label))
     return out
 
@@ -328,8 +421,8 @@ def model(spark: SparkSession, examples: int = EXAMPLES) -> Trees:
         texts = spark.createDataFrame([(i, a + b + c, len(a), len(a) + len(b), y) for i, (a, b, c, y) in enumerate(made)], "i int, text string, a int, b int, y int")
         rows = with_candidates(with_base(texts)).select("i", "a", "b", "y", F.explode("candidates").alias("c")).collect()
         x = np.array([[r.c["f_" + f] for f in FEATURES] for r in rows], float)
-        # A candidate is right if its text is personal data and it covers most of it.
-        y = np.array([r.y and min(r.b, r.c["end"]) - max(r.a, r.c["start"]) >= 0.8 * (r.b - r.a) and r.c["end"] - r.c["start"] <= 1.25 * (r.b - r.a) for r in rows], float)
+        # A candidate is right if its text is personal data, no part of it and no more.
+        y = np.array([r.y and (r.c["start"], r.c["end"]) == (r.a, r.b) for r in rows], float)
         grow = np.array([r.i % 3 != 0 for r in rows])
         trees = Trees()
         trees.fit(x[grow], y[grow])
@@ -338,6 +431,17 @@ def model(spark: SparkSession, examples: int = EXAMPLES) -> Trees:
     return _fitted[examples]
 
 
+def _likeliest(spans: Column) -> Column:
+    """Of spans that overlap the likeliest, then the longest; one that only overlaps a dropped one stays."""
+    ranked = F.array_sort(F.transform(spans, lambda c: F.struct((-c["p"]).alias("unlikely"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["p"].alias("p"))))
+
+    def take(acc: Column, c: Column) -> Column:
+        one = F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["p"].alias("p")))
+        return F.when(F.exists(acc, lambda o: _overlaps(o, c)), acc).otherwise(F.concat(acc, one))
+
+    return F.aggregate(ranked, F.expr("cast(array() as array<struct<kind:string,start:int,end:int,p:double>>)"), take)
+
+
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, an array a kind of base spans, and ``added``: (kind, start, end, p) of the spans the trees accept."""
     trees = model(docs.sparkSession)
@@ -346,8 +450,7 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     scored = F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), trees.column(c).alias("p")))
     threshold = F.create_map(*[x for k, t in zip(KINDS, trees.threshold, strict=True) for x in (F.lit(k), F.lit(t))])
     rows = rows.withColumn("accepted", F.filter(scored, lambda c: c["p"] >= F.element_at(threshold, c["kind"])))
-    better = lambda a, b: _overlaps(a, b) & ((a["p"] > b["p"]) | ((a["p"] == b["p"]) & (F.struct(a["start"], a["end"], a["kind"]) < F.struct(b["start"], b["end"], b["kind"]))))
-    return rows.select("doc_id", *["base_" + k for k in KINDS], F.filter("accepted", lambda c: ~F.exists("accepted", lambda o: better(o, c))).alias("added"))
+    return rows.select("doc_id", *["base_" + k for k in KINDS], _likeliest(F.col("accepted")).alias("added"))
 
 
 def _is(kind: str):

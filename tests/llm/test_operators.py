@@ -398,6 +398,44 @@ def test_pii(spark, odd, empty):
     assert pii.personal_data(empty).count() == 0 and pii.personal_data(odd).count() == odd.count()
 
 
+def brute_proposed(t):
+    """Each place a card's, a phone's or an IP address's form can stand, whatever overlaps it."""
+    card, phone = (re.compile(pii.RANGES[k]) for k in ("card", "phone"))
+    ip = re.compile(pii.GENERATORS["ip"])
+    out = set()
+    for a in range(len(t)):
+        if m := ip.match(t, a):
+            out.add(("ip", a, m.end()))
+        if t[a] not in "(0123456789" or (t[a].isdigit() and a and t[a - 1].isdigit()):
+            continue
+        for b in range(a + 1, len(t) + 1):
+            if b < len(t) and t[b].isdigit():
+                continue
+            if card.match(t[a:b]):
+                out.add(("card", a, b))
+            if phone.match(t[a:b]) and not (a and re.match("[0-9A-Za-z+]", t[a - 1])) and not (a and t[a - 1] == "(" and phone.match(t[a - 1 : b])):
+                out.add(("phone", a, b))
+    base = [x.split(":") for x in brute_pii(t)]
+    return {x for x in out if all(x[2] <= int(a) or int(b) <= x[1] for _, a, b in base)}
+
+
+def test_pii_proposes_every_span(spark):
+    """Numbers beside one another or beside a base span, and e-mails before further labels."""
+    r = random.Random(12)
+    alphabet = ["555-123-4567", "2024-01-02", "192.168.0.1", "3782 822463 10005", "(201) ", "00", "0", "12", "4", " ", " ", "-", ".", "/", "(", ")", "x", "+1 ", "é", "[.]", "_"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.with_candidates(pii.with_base(df)).collect()
+    for g in rows:
+        assert {(c.kind, c.start, c.end) for c in g.candidates if c.kind != "email"} == brute_proposed(g.text), g.text
+    cases = {
+        "555-123-4567 555-987-6543": ["555-123-4567", "555-987-6543"], "2024-01-02 555-123-4567": ["555-123-4567"], "192.168.0.1 555-123-4567": ["555-123-4567"],
+        "3782 822463 10005 555-123-4567": ["3782 822463 10005", "555-123-4567"], "3782 822463 10005 12": ["3782 822463 10005"], "write joe @ site.com. Then go": ["joe @ site.com"],
+    }
+    found = {g.doc_id: sorted(list(cases)[g.doc_id][s.start : s.end] for s in g.added) for g in pii.personal_data(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_clashing_names(spark):
     """Input columns named like an operator's own don't disturb it."""
     rows = [(1, "one two three four five six seven eight nine ten", "en", "s", 1, 5, "x", 0.5, 3)]
