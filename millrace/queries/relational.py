@@ -237,6 +237,16 @@ def impute_events(spark: SparkSession, sf: str) -> DataFrame:
     return t.impute(_round(sums, 4, "total"), "total", ["event_type"], ["bucket"])
 
 
+@query("""
+WITH d AS (SELECT o_custkey, o_orderpriority, round(sum(o_totalprice), 4) AS total FROM orders GROUP BY ALL)
+SELECT c.o_custkey, p.o_orderpriority, coalesce(d.total, 0) AS total FROM (SELECT DISTINCT o_custkey FROM orders) c CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p LEFT JOIN d USING (o_custkey, o_orderpriority)
+""")
+def impute_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders; many customers have none of some priority."""
+    sums = aggregate(table(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], [{"field": "o_totalprice", "ops": ["sum"], "as": ["total"]}])
+    return t.impute(_round(sums, 4, "total"), "total", ["o_orderpriority"], ["o_custkey"])
+
+
 @query("SELECT r_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS kids FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL")
 def treeify_nations(spark: SparkSession, sf: str) -> DataFrame:
     nations = table(spark, sf, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey", "n_name")
@@ -284,6 +294,12 @@ def modify_remove(spark: SparkSession, sf: str) -> DataFrame:
     return t.modify(e.filter("event_type = 'view'"), "remove", e.filter("event_type = 'purchase' AND event_id % 40 = 0"), "user_id").drop("event_type")
 
 
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def modify_remove_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without all labelled ones; the labels cover some."""
+    return t.modify(table(spark, sf, "documents").select("doc_id", "source"), "remove", table(spark, sf, "labels"), "doc_id")
+
+
 @query("""
 WITH r AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY ALL)
 SELECT 'region' AS kind, k AS id, n FROM r UNION ALL SELECT 'total', -1, (SELECT count(*) FROM nation)

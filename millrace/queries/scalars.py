@@ -92,6 +92,23 @@ def number_si(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select("o_orderkey", numbers.d3_format(F.col("o_totalprice"), ".3s").alias("si"))
 
 
+#: Three significant digits, ties away from zero, with the prefix of the rounded number's thousands.
+_SI_SQL = """
+WITH x AS (SELECT o_orderkey, unnest([o_totalprice, o_totalprice * 10]) AS v, unnest(['si', 'si_tens']) AS name FROM orders),
+e AS (SELECT o_orderkey, name, v, floor(log10(v))::INTEGER AS e FROM x), n AS (SELECT o_orderkey, name, e, round(v / pow(10, e - 2))::BIGINT AS n FROM e),
+r AS (SELECT o_orderkey, name, CASE WHEN n = 1000 THEN 100 ELSE n END AS n, CASE WHEN n = 1000 THEN e + 1 ELSE e END AS e FROM n),
+t AS (SELECT o_orderkey, name, CASE e % 3 WHEN 0 THEN printf('%.2f', n / 100) WHEN 1 THEN printf('%.1f', n / 10) ELSE printf('%d', n) END || (['', 'k', 'M', 'G'])[e // 3 + 1] AS si FROM r)
+SELECT o_orderkey, max(si) FILTER (name = 'si') AS si, max(si) FILTER (name = 'si_tens') AS si_tens FROM t GROUP BY ALL
+"""
+
+
+@query(_SI_SQL)
+def number_si_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders, and their tenfold for the millions."""
+    price = F.col("o_totalprice")
+    return table(spark, sf, "orders").select("o_orderkey", numbers.d3_format(price, ".3s").alias("si"), numbers.d3_format(price * 10, ".3s").alias("si_tens"))
+
+
 @query("""
 SELECT p_partkey, CASE WHEN length(CAST(p_size AS VARCHAR)) >= 5 THEN CAST(p_size AS VARCHAR) ELSE lpad(CAST(p_size AS VARCHAR), 5, '0') END AS padded, lower(substr(p_name, 1, 1)) || substr(p_name, 2) AS lcfirst,
   upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS ucfirst, CASE p_size % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'low' WHEN 2 THEN 'low' ELSE 'other' END AS switched,

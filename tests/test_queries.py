@@ -25,3 +25,25 @@ def test_entry(spark):
     names = set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= names
     assert set(REGISTRY) <= names
+
+
+def test_whole_tables(spark, sf):
+    """SI formats, removal and imputation over all rows of a table, against plain Python."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def si(x):
+        d = Decimal(repr(x))
+        d = d.quantize(Decimal(1).scaleb(d.adjusted() - 2), ROUND_HALF_UP)
+        e = d.adjusted() // 3 * 3
+        return f"{d.scaleb(-e):.{2 - (d.adjusted() - e)}f}" + {0: "", 3: "k", 6: "M"}[e]
+
+    run = lambda name: REGISTRY[name][0](spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    assert {(r.o_orderkey, r.si, r.si_tens) for r in run("number_si_orders").collect()} == {(o.o_orderkey, si(o.o_totalprice), si(o.o_totalprice * 10)) for o in orders}
+    documents, labels = ({r.doc_id for r in spark.read.parquet(f"{sf}/{name}.parquet").select("doc_id").collect()} for name in ("documents", "labels"))
+    assert documents - labels and documents & labels
+    assert {r.doc_id for r in run("modify_remove_labelled").collect()} == documents - labels
+    seen = {(o.o_custkey, o.o_orderpriority) for o in orders}
+    got = {(r.o_custkey, r.o_orderpriority): r.total for r in run("impute_orders").collect()}
+    assert len(got) == len({c for c, _ in seen}) * len({p for _, p in seen}) > len(seen)
+    assert {k for k, v in got.items() if v} == seen
