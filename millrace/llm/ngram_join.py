@@ -54,7 +54,7 @@ SMALL = 200_000
 BLOCK = 1024
 
 _U = np.uint64
-SETS = "doc_id long, n long, node long, keys array<long>, ell int, prefix array<long>, bits binary"
+SETS = "doc_id long, mark long, n long, node long, keys array<long>, ell int, prefix array<long>, bits binary"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -202,7 +202,7 @@ def _prepare(hot, width: int, percent: int):
                 keys.append(vec.window_hashes(first, 2)[::2].view(np.int64))
                 ell, prefix = choose(s, tokens, counts, percent)
                 ells.append(ell), prefixes.append(prefix.view(np.int64)), bits.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "keys", "ell", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "mark", "n", "node", "keys", "ell", "prefix", "bits"])
 
     return run
 
@@ -301,7 +301,7 @@ class Join:
         hot = hot_shingles(docs.select("text"), width, percent)
         self.hot = self.spark.sparkContext.broadcast(hot)
         common.free_shuffles(self.spark)
-        self.rows = common.written(docs.select("doc_id", "text").mapInArrow(_prepare(self.hot, width, percent), SETS), "shingles")
+        self.rows = common.written(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_prepare(self.hot, width, percent), SETS), "shingles")
         #: A row a node: its smallest doc_id.
         self.nodes = common.written(self.rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "nodes")
         self.sets: DataFrame | None = None
@@ -466,13 +466,30 @@ def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def without_linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of ``docs``, the one with the smallest doc_id; all columns.
+    """One row of each group of ``docs``, one with the smallest doc_id, null ids last; all columns.
 
-    Rows that share a doc_id count as one document here."""
-    groups = linked_groups(docs.select("doc_id", "text"), width, percent)
-    gone = common.written(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    few = gone.limit(SMALL + 1).count() <= SMALL
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    A row is known by its doc_id and a hash of its text, so rows that share a doc_id, or have none, are told
+    apart; of rows equal in both one stays. Rows without words stay."""
+    join = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+    groups = common.written(join.components(), "components")
+    rows = join.rows.filter("node is not null").groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    rows = common.written(rows.join(groups, "node", "left").select("doc_id", "mark", "node", "times", F.coalesce("label", "node").alias("label")), "labelled")
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "mark")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node")) & (F.col("mark") == F.col("best.mark"))
+    # Out go the rows that don't stay and those that would stay more than once, which come back once.
+    out = common.written(rows.join(best, "label").filter(~stays | (F.col("times") > 1)).select(F.col("doc_id").alias("out_id"), F.col("mark").alias("out_mark"), stays.alias("back")), "gone")
+
+    def chosen(some: DataFrame, how: str) -> DataFrame:
+        few = some.limit(SMALL + 1).count() <= SMALL
+        same = docs["doc_id"].cast("long").eqNullSafe(some["out_id"]) & (F.xxhash64(docs["text"]) == some["out_mark"])
+        return docs.join(F.broadcast(some) if few else some, same, how)
+
+    left = chosen(out.select("out_id", "out_mark"), "left_anti")
+    back = out.filter("back").select("out_id", "out_mark")
+    if not back.limit(1).count():
+        return left
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one")
+    return left.union(chosen(back, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(one).select("one.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

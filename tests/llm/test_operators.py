@@ -182,6 +182,30 @@ def test_ngram_join_odd(spark, odd, empty):
     assert ngram_join.without_linked(empty).count() == 0
 
 
+def test_without_linked_keeps_a_row_a_group(spark, empty):
+    """Null ids, ids that several texts share and equal rows: one row a group, by the smallest id."""
+    base = [t for _, t in near_copies(40, 5, 2)]
+    long = [f"{' '.join(f'u{k}x{j}' for j in range(90))}" for k in range(6)]
+    close = lambda t: t + " end"
+    texts = [(None, long[0]), (None, close(long[0])), (None, close(long[0])), (1, long[1]), (5, close(long[1])), (5, long[2]), (5, long[2]), (None, close(long[2])), (7, long[3]), (None, long[4]), (None, ""), (8, "")]
+    rows = texts + [(100 + i if i % 3 else None, t) for i, t in enumerate(base)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = ngram_join.without_linked(df, 3, 80)
+    assert got.columns == df.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert Counter(left) <= Counter(rows)
+    # Groups by brute force over places, as ids don't tell rows apart.
+    place = {i: rows[i] for i in range(len(rows))}
+    groups = {}
+    for i, n, g in brute_groups([(i, t) for i, (_, t) in place.items()], 3, 80):
+        groups.setdefault(g if n else ("empty", i), []).append(place[i])
+    assert len(left) == len(groups)
+    for members in groups.values():
+        least = min(members, key=lambda m: (m[0] is None, m[0] or 0))[0]
+        assert sum(m in left for m in set(members)) == 1 and any(m in left for m in members if m[0] == least)
+    assert ngram_join.without_linked(empty).columns == empty.columns
+
+
 def test_prefixes_are_complete():
     """Two similar sets share min(l, l') prefix shingles at least, whatever l each picks."""
     import numpy as np
