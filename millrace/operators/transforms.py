@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Sequence
 
@@ -290,28 +291,32 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
-def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1.0, height: float = 1.0, levels: int = 40) -> DataFrame:
+def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1.0, height: float = 1.0) -> DataFrame:
     """Partition layout of a tree given by parent ids: depth, x0, x1 (share of the parent) and y0, y1 of each node.
 
-    Values of inner nodes are the sums of their leaves. One join a level, until no node is left."""
+    Values of inner nodes are the sums of their leaves. One join a level, until no node is left; more levels
+    than nodes are a cycle, which raises ValueError."""
     nodes = df.select(F.col(id_).alias("id"), F.col(parent).alias("parent"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("own"))
     leaves = nodes.join(nodes.select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
     # Walk each leaf up to the root; each step is a join on the parent.
     walk = leaves.select("id", "parent", F.col("own").alias("v"))
     sums = walk.select("id", "v")
-    for _ in range(levels):
+    most = nodes.count()
+    for step in itertools.count(1):
         up = walk.filter("parent is not null")
         up = up.select(F.col("parent").alias("id"), "v").groupBy("id").agg(F.sum("v").alias("v")).join(nodes.select("id", "parent"), "id")
         up = _cut(up.select("id", "parent", "v"))
         if up.isEmpty():
             break
+        if step >= most:
+            raise ValueError("the tree has a cycle")
         sums = sums.union(up.select("id", "v"))
         walk = up
     total = sums.groupBy("id").agg(F.sum("v").alias("value"))
     known = nodes.join(total, "id").select("id", "parent", "value")
     level = known.filter("parent is null").select("id", F.lit(0).alias("depth"), F.lit(0.0).alias("x0"), F.lit(float(width)).alias("x1"), "value")
     out = level
-    for depth in range(1, levels):
+    for depth in itertools.count(1):
         part = W.partitionBy("p").orderBy(F.col("c_value").desc(), "c_id")
         kids = known.select(F.col("id").alias("c_id"), F.col("parent").alias("p"), F.col("value").alias("c_value")).join(level.select(F.col("id").alias("p"), "x0", "x1", "value"), "p")
         before = F.coalesce(F.sum("c_value").over(part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
@@ -320,6 +325,8 @@ def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1
         level = _cut(level)
         if level.isEmpty():
             break
+        if depth >= most:
+            raise ValueError("the tree has a cycle")
         out = out.union(level)
     deepest = out.agg((F.max("depth") + 1).alias("__n"))
     rows = out.crossJoin(F.broadcast(deepest))  # one row

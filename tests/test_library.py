@@ -141,3 +141,15 @@ def test_stream(spark, tmp_path):
     q = events.tumbling(stream, "ts", "1 minute", ["k"], F.sum("v").alias("v"), late="5 minutes").writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.k, r.v) for r in spark.table("windows").collect()} >= {("a", 3.0), ("b", 3.0)}
+
+
+def test_hierarchy_has_no_last_level(spark):
+    """A path deeper than any fixed number of levels, and a cycle."""
+    n = 44
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, None if i < n - 1 else 3.0) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "id string, parent string, v double")
+    got = {r.id: (r.depth, r.value) for r in t.hierarchy(nodes, "id", "parent", "v").select("id", "depth", "value").collect()}
+    assert got == {f"n{i}": (i, 3.0) for i in range(n)}
+    ring = spark.createDataFrame([("a", "b", 0.0), ("b", "a", 0.0), ("leaf", "a", 1.0)], "id string, parent string, v double")
+    with pytest.raises(ValueError, match="cycle"):
+        t.hierarchy(ring, "id", "parent", "v")
