@@ -260,21 +260,28 @@ class Pieces:
                 found.append(ids), counts.append(n)
             some, size = [], 0
 
-        for p in parts:
+        owner: list[int] = []  # the part of each cut
+        for i, p in enumerate(parts):
+            cuts = [0, len(p)]
             if len(p) > LONG or "\0" in p:
-                flush()
                 cuts = [0, *(k for k in range(1, len(p)) if p[k - 1 : k + 1] not in self.beside), len(p)]
-                ids = np.array([i for a, b in zip(cuts, cuts[1:], strict=False) for i in self._alone(p[a:b])], np.int32)
-                found.append(ids), counts.append(np.array([len(ids)]))
-            else:
-                some.append(p)
-                size += len(p) + 1
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                cut = p[a:b]
+                owner.append(i)
+                if len(cut) > LONG or "\0" in cut:
+                    flush()
+                    ids = np.array(self._alone(cut), np.int32)
+                    found.append(ids), counts.append(np.array([len(ids)]))
+                    continue
+                some.append(cut)
+                size += len(cut) + 1
                 if size >= CHUNK:
                     flush()
         flush()
+        each = np.bincount(owner, np.concatenate(counts), len(parts)).astype(np.int64)
         first = len(self.starts) - 1
         self.known.update(zip(parts, range(first, first + len(parts)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(each)])
         self.flat = np.concatenate([self.flat, *found])
 
     def parts(self, text: str) -> list[str]:

@@ -289,6 +289,22 @@ def test_sentencepieces(spark, odd, empty):
     assert sentencepieces.encoded(empty, path).count() == 0
 
 
+def test_sentencepieces_long_parts(monkeypatch):
+    """Of parts without spaces only cuts that are still too long are merged alone."""
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    r = random.Random(7)
+    texts = ["".join(r.choice("日本語😀abé1Ж") for _ in range(n)) for n in (150, 201, 900, 5000)] + ["word " * 50 + "日x😀" * 200 + " end", "x" * 3000, "a" * 250 + "日" + "b" * 250, "a\0b" * 100]
+    alone: list[str] = []
+    merge = sentencepieces.Pieces._alone
+    monkeypatch.setattr(sentencepieces.Pieces, "_alone", lambda self, part: alone.append(part) or merge(self, part))
+    got = sentencepieces.Pieces(path).encode(texts)
+    assert [list(g) for g in got] == SentencePieceProcessor(model_file=path).encode(texts)
+    assert alone and all(len(p) > sentencepieces.LONG or "\0" in p for p in alone)
+
+
 def test_quality_counts(spark, odd, empty):
     got = {str(r.doc_id) + str(r.word_chars): r for r in quality.quality(odd).collect()}
     for x in odd.collect():
