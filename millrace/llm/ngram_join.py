@@ -9,15 +9,17 @@ Texts become sets of word shingles (64-bit hashes). Equal sets are one node; all
   shingles at least with any node similar to it. Each node picks the l that costs least by the
   counts of its prefix: postings to read, plus candidates to verify, of which there are at most
   sum(count - 1) / l. A pair needs min(l, l') shared prefix shingles before it is verified.
-* Stars. Large groups of near copies would make all pairs. So nodes first meet one leader each, by
-  keys of minima of their hashes; verified ones become the leader's star and postings are kept by
-  star. As 1 - Jaccard is a metric, two leaders farther apart than the threshold plus both stars'
-  radii have no link between members; what is neither linked nor ruled out is settled by members
-  against the other leader, then by the pairs of members that the triangle inequality leaves.
-* Bounds. Before sets are fetched, pairs meet as bitmaps of token parities, about a thirtieth of the sets:
-  the bits in which two differ are at most the tokens that only one has, which bounds the similarity from
-  above. Each star's likeliest partner is verified first; pairs that are joined by then need no proof.
-* Groups. Links between leaders are joined into components by minimum labels and pointer jumping.
+* Families. Near copies of one text share most of their common shingles, so that prefixes alone would pair all with
+  all. So each node looks for a pivot, by minima of hashes, the likely base text being the one with the
+  largest share of hot shingles. Of a pivot's nodes only what they differ in from it is kept. Two of them differ in just
+  the tokens that one of these differences holds and not the other, so similar ones that aren't both similar to the
+  pivot share part of their differences: the same multi-match prefixes, of differences now and ordered by
+  their exact counts, find them. What all copies have in common is in no difference and pairs nothing.
+* Across families postings pair nodes of different pivots only.
+* Bounds. Before sets are fetched, pairs meet as bitmaps of token parities, about a thirtieth of the sets: the bits
+  in which two differ are at most the tokens that only one has, which bounds the similarity from above.
+* Groups. Links are joined into components by minimum labels and pointer jumping; pairs that are joined already
+  need no proof.
 
 Words are runs of characters that aren't white space, A-Z lower-cased; texts with fewer words than a
 shingle are one shingle; null texts and those without words have none and link with nothing. Equal
@@ -47,14 +49,21 @@ LONGEST = 8
 COLD = 1.5
 #: Lowest-hashed shingles that are counted, as a multiple of the longest prefix.
 POOL = 1.25
-KEYS = 4
-#: Ids or stars of so many rows at most are broadcast; more are joined by shuffle.
+#: Texts are counted whole if so large a share of their lowest-hashed shingles is hot.
+CROWDED = 0.25
+#: Parts of the hash range whose minima are compared to find pivots.
+KEYS = 8
+#: A node is of a pivot's family from a similarity of so many percent, or of the threshold if that is lower.
+LOOSE = 50
+#: Ids of so many rows at most are broadcast; more are joined by shuffle.
 SMALL = 200_000
-#: Pivots of one hot shingle that meet in one task, about; longer postings are dealt in blocks of this.
+#: Postings of one shingle that meet in one task, about; longer lists are dealt in blocks of this.
 BLOCK = 1024
+#: A family is dealt in so many blocks, of so many nodes at least and at most; two blocks meet in one task.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8, 256, 32768
 
 _U = np.uint64
-SETS = "doc_id long, mark long, n long, node long, keys array<long>, ell int, prefix array<long>, bits binary"
+SETS = "doc_id long, mark long, n long, node long, keys array<long>, cold double, ell int, prefix array<long>, bits binary"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -78,31 +87,48 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _pool(width: int, percent: int):
+def _pool(n: int, percent: int) -> int:
+    return int(POOL * (n - least_overlap(n, percent) + LONGEST))
+
+
+def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+    tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
+
+def _counting(width: int, percent: int, first=None):
+    """Counts of tokens by task: each text's lowest-hashed ones, or, given a first table of hot tokens, the whole
+    sets of the texts in whose lowest-hashed ones hot tokens are common."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = first.value[0] if first is not None else None
+        own, size = [], 0
         for batch in batches:
-            own, size = [], 0
             for s in shingle_sets(batch.column(0), width):
-                n = len(s)
-                own.append(s[: int(POOL * (n - least_overlap(n, percent) + LONGEST))])
-                size += len(own[-1])
+                part = s[: _pool(len(s), percent)]
+                if hot is not None:
+                    if not len(hot) or not len(part) or _among(part, hot).mean() < CROWDED:
+                        continue
+                    part = s
+                own.append(part)
+                size += len(part)
                 if size >= 1 << 20:
-                    yield counted(own)
+                    yield _counted(own)
                     own, size = [], 0
-            if own:
-                yield counted(own)
-
-    def counted(own: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(own), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
+        if own:
+            yield _counted(own)
 
     return run
 
 
-def hot_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hot shingles, sorted, and their counts."""
-    counts = texts.mapInArrow(_pool(width, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = common.written(counts.filter(F.col("n") >= HOT_LEAST), "hot")
+def _among(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(hot, tokens)
+    at[at == len(hot)] = 0
+    return hot[at] == tokens
+
+
+def _bounded_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, sorted, and their counts; the least count rises until HOT_MOST rows hold them."""
     steps = sorted(((r.k, r.m) for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
     least, total = 63, 0
     for k, m in steps:
@@ -115,26 +141,47 @@ def hot_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.ndarray
     return tokens[order], n[order]
 
 
-def choose(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """(l, l-prefix) of a set."""
+def hot_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hot shingles, sorted, and their counts, in two passes.
+
+    The first counts each text's lowest-hashed shingles, about a tenth. Where hot ones are common among them, as in
+    families of near copies, prefixes reach beyond; so the second counts such texts whole."""
+
+    def counts(first=None) -> DataFrame:
+        got = texts.mapInArrow(_counting(width, percent, first), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        return common.written(got.filter(F.col("n") >= HOT_LEAST), "hot")
+
+    spark = texts.sparkSession
+    one = counts()
+    first = spark.sparkContext.broadcast(_bounded_table(one))
+    two = counts(first)
+    first.unpersist()
+    return _bounded_table(one.union(two).groupBy("token").agg(F.max("n").alias("n")))
+
+
+def ell_of(df: np.ndarray, least: int) -> int:
+    """The l that costs least for a set whose tokens, in order, are in so many sets, and whose partners share ``least``."""
+    read = np.cumsum(df)
+    ells = np.arange(1, min(LONGEST, least) + 1)
+    own = len(df) - least + ells
+    return int(np.argmin(read[own - 1] + VERIFY * (read[own - 1] - own) / ells)) + 1
+
+
+def choose(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray, int]:
+    """(l, l-prefix, number of tokens that aren't hot) of a set."""
     n = len(tokens)
     least = least_overlap(n, percent)
-    longest = min(LONGEST, least)
+    df, cold = np.full(n, COLD), n
     if len(hot):
         at = np.searchsorted(hot, tokens)
         at[at == len(hot)] = 0
         is_hot = hot[at] == tokens
-        cold = tokens[~is_hot]
-        df = np.concatenate([np.full(len(cold), COLD), counts[at[is_hot]]])
-        tokens = np.concatenate([cold, tokens[is_hot]])
-    else:
-        df = np.full(n, COLD)
-    read = np.cumsum(df)
-    ells = np.arange(1, longest + 1)
-    own = n - least + ells
-    cost = read[own - 1] + VERIFY * (read[own - 1] - own) / ells
-    ell = int(np.argmin(cost)) + 1
-    return ell, tokens[: n - least + ell]
+        rare = tokens[~is_hot]
+        cold = len(rare)
+        df = np.concatenate([df[:cold], counts[at[is_hot]]])
+        tokens = np.concatenate([rare, tokens[is_hot]])
+    ell = ell_of(df, least)
+    return ell, tokens[: n - least + ell], cold
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -161,48 +208,47 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _bounded(percent: int):
-    """Keeps the pairs that may be similar by their bitmaps, with an upper bound of their similarity."""
+    """Keeps the pairs that may be similar by their bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-            kept, bound = [], []
+            kept = []
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 both = na[i] + nb[i]
                 d = max(apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)), abs(na[i] - nb[i]))
                 most = (both - d) // 2
                 if 100 * most >= percent * (both - most):
-                    kept.append(i), bound.append(most / (both - most))
+                    kept.append(i)
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(bound, pa.float64())], names=["a", "b", "bound"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
     return run
 
 
 def _prepare(hot, width: int, percent: int):
-    edges = (np.arange(2 * KEYS, dtype=_U) * _U((1 << 64) // (2 * KEYS))).astype(_U)
+    edges = (np.arange(KEYS, dtype=_U) * _U((1 << 64) // KEYS)).astype(_U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = hot.value
         seen: set[int] = set()  # 8 bytes of hash a node; a task needn't send a prefix twice
         for batch in batches:
-            n, node, keys, ells, prefixes, bits = [], [], [], [], [], []
+            n, node, keys, cold, ells, prefixes, bits = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
-                if not len(s):
-                    node.append(None), keys.append(None), ells.append(None), prefixes.append(None), bits.append(None)
-                    continue
-                own = vec.set_hash(s)
+                own = vec.set_hash(s) if len(s) else None
                 node.append(own)
-                if own in seen:
-                    keys.append(None), ells.append(None), prefixes.append(None), bits.append(None)
+                if own is None or own in seen:
+                    for column in (keys, cold, ells, prefixes, bits):
+                        column.append(None)
                     continue
                 seen.add(own)
-                first = np.append(s, _U(0))[np.searchsorted(s, edges)]
-                keys.append(vec.window_hashes(first, 2)[::2].view(np.int64))
-                ell, prefix = choose(s, tokens, counts, percent)
-                ells.append(ell), prefixes.append(prefix.view(np.int64)), bits.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "mark", "n", "node", "keys", "ell", "prefix", "bits"])
+                at = np.searchsorted(s, edges)
+                keys.append(s[np.unique(at[at < len(s)])].view(np.int64))
+                ell, prefix, rare = choose(s, tokens, counts, percent)
+                ells.append(ell), prefixes.append(prefix.view(np.int64)), bits.append(bitmap(s)), cold.append(rare / len(s))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, longs), pa.array(cold, pa.float64()), pa.array(ells, pa.int32()), pa.array(prefixes, longs), pa.array(bits, pa.binary())], names=["doc_id", "mark", "n", "node", "keys", "cold", "ell", "prefix", "bits"])
 
     return run
 
@@ -235,63 +281,171 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "total"])
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Cuts sorted batches where the keys change: tables of whole groups, one batch of rows at a time, plus what the
+    last group had before."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+            if rest and v[0] != rest[-1].column(k)[rest[-1].num_rows - 1].as_py():
+                change[0] = True
+        cuts = np.flatnonzero(change)
+        if not len(cuts):
+            rest.append(batch)
+            continue
+        if first := [*rest, *([batch.slice(0, cuts[-1])] if cuts[-1] else [])]:
+            yield pa.Table.from_batches(first)
+        rest = [batch.slice(cuts[-1])]
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def _meet(percent: int):
-    """Pairs of pivots that share a shingle within a cell, a row a shingle.
+    """Pairs of nodes of different pivots that share a shingle within a cell, a row a shingle.
 
-    Rows are token, cell, pivot and meta: l in 8 bits, the smallest and largest set of the star in 28 each.
-    A cell other than 0 is a pair of blocks of a crowded shingle: its pivots pair across blocks only, or
-    within the block if both are the same."""
+    Rows are token, cell, node, pivot (null: the node itself) and meta: l, two bits of side and, in 32 bits, the set's
+    size. Rows of sides 1 and 2 pair across only, those of side 0 among themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        del held
-        t, c, p, meta = (table.column(k).to_numpy() for k in ("token", "cell", "pivot", "meta"))
-        del table
-        order = np.lexsort((meta, p, c, t))  # of a pivot's rows for a shingle, the one with the least l comes first
-        t, c, p, meta = t[order], c[order], p[order], meta[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        once = new.copy()
-        once[1:] |= p[1:] != p[:-1]
-        t, c, p, meta, new = t[once], c[once], p[once], meta[once], new[once]
-        ell, lo, hi = meta >> 56, (meta >> 28) & 0xFFFFFFF, meta & 0xFFFFFFF
-        starts = np.flatnonzero(new)
-        lengths = np.diff(np.append(starts, len(t)))
-        out_a, out_b, out_l, size = [], [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_l)], names=["a", "b", "need"])
-
-        for s, k in zip(starts[lengths > 1], lengths[lengths > 1], strict=True):
-            q, e, low, high = p[s : s + k], ell[s : s + k], lo[s : s + k], hi[s : s + k]
-            blocks = int(c[s]) >> 40
-            if blocks:
-                m = block_of(q, blocks)
-                one, two = (int(c[s]) >> 20) & 0xFFFFF, int(c[s]) & 0xFFFFF
-            for i in range(k - 1):
-                j = slice(i + 1, k)
-                fits = (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j])
-                if blocks and one != two:
-                    fits &= m[j] != m[i]
-                j = np.flatnonzero(fits) + i + 1
-                if len(j):
-                    out_a.append(np.full(len(j), q[i])), out_b.append(q[j]), out_l.append(np.minimum(e[j], e[i]).astype(np.int32))
-                    size += len(j)
-                    if size >= 1 << 18:
-                        yield packed()
-                        out_a, out_b, out_l, size = [], [], [], 0
-        if size:
-            yield packed()
+        for table in _grouped(batches, ["token", "cell"]):
+            t, c, q, meta = (table.column(k).to_numpy() for k in ("token", "cell", "node", "meta"))
+            p = table.column("pivot").combine_chunks()
+            p = np.where(p.is_null().to_numpy(zero_copy_only=False), q, p.fill_null(0).to_numpy(zero_copy_only=False))
+            order = np.lexsort((q, c, t))
+            t, c, q, p, meta = t[order], c[order], q[order], p[order], meta[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            once = new.copy()
+            once[1:] |= q[1:] != q[:-1]
+            q, p, meta, new = q[once], p[once], meta[once], new[once]
+            ell, side, n = meta >> 34, meta >> 32 & 3, meta & 0xFFFFFFFF
+            ends = np.append(np.flatnonzero(new)[1:], len(q))[np.cumsum(new) - 1]
+
+            def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                fits = (p[j] != p[i]) & (100 * n[j] >= percent * n[i]) & (100 * n[i] >= percent * n[j]) & ((side[j] != side[i]) | (side[i] == 0))  # noqa: B023
+                i, j = i[fits], j[fits]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(q[j]), pa.array(np.minimum(ell[i], ell[j]).astype(np.int32))], names=["a", "b", "need"])  # noqa: B023
+
+            # Step by step through short lists, all at once; row by row through what is left of long ones.
+            rows, step = np.arange(len(q)), 0
+            while len(rows) > 64:
+                step += 1
+                rows = rows[rows + step < ends[rows]]
+                yield from pairs(rows, rows + step)
+            for i in rows:
+                later = np.arange(i + step + 1, ends[i])
+                yield from pairs(np.full(len(later), i), later)
 
     return run
 
 
-def block_of(pivots: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of each pivot of a crowded shingle: its own bits, modulo the number of blocks."""
-    return np.mod(pivots, blocks)
+def _differ(percent: int):
+    """What each node and its pivot don't share, as hashes that differ by side; nodes too far from it are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size, n, linked, parts = [], [], [], [], []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                both = np.concatenate([x, y])
+                order = np.argsort(both, kind="stable")
+                both = both[order]
+                twice = np.zeros(len(both), bool)
+                twice[1:] = both[1:] == both[:-1]
+                shared = int(twice.sum())
+                total = len(both) - shared
+                if 100 * shared < min(LOOSE, percent) * total:
+                    continue
+                twice[:-1] |= twice[1:]
+                at.append(i), size.append(len(x)), n.append(len(y)), linked.append(100 * shared >= percent * total)
+                parts.append(vec.mix(both[~twice] + (order[~twice] < len(x)).astype(_U)).tobytes())
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(parts, pa.binary())], names=["pivot", "node", "size", "n", "linked", "parts"])
+
+    return run
+
+
+def differing(d: int, n: int, size: int, linked: bool, percent: int) -> int:
+    """How many hashes at least a node's difference of ``d`` from its pivot shares with that of any node similar to it.
+
+    With c = (1 - t) / (1 + t), sets of a and b tokens are similar if they differ in c (a + b) at most. Both differences
+    overlap in half of what they hold beyond that. Two nodes that are similar to the pivot need no proof, so
+    one of the pair exceeds its own bound to the pivot."""
+    c = (100 - percent) / (100 + percent)
+    if linked:
+        return math.floor((1 - c) * d / 2 - 1e-9) + 1
+    over = d - c * (n + size)
+    other = max(1, d - n * (100 - percent) // percent)
+    return max(1, math.ceil((over + (1 - c) * other) / 2 - 1e-9))
+
+
+def _within(percent: int):
+    """Links among the nodes of a pivot, by multi-match prefixes of what they differ in from it, in cells of two blocks.
+
+    Of links within a cell only those are given that join what others haven't joined yet."""
+
+    def links(table: pa.Table) -> tuple[list[int], list[int]]:
+        node, n, linked, side = (table.column(k).to_numpy() for k in ("node", "n", "linked", "side"))
+        size = table.column("size")[0].as_py()
+        open_ = np.flatnonzero(~linked)
+        if len(node) < 2 or not len(open_):
+            return [], []
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("parts")]
+        lengths = np.array([len(s) for s in sets])
+        tokens, index, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner, ends = np.repeat(np.arange(len(sets)), lengths), np.cumsum(lengths)
+        order = np.lexsort((index, counts[index], owner))  # in each set, rare ones first
+        index = index[order]
+        sets = [index[e - k : e] for e, k in zip(ends, lengths, strict=True)]
+        least = [differing(len(s), int(n[i]), size, bool(linked[i]), percent) for i, s in enumerate(sets)]
+        ells = np.array([ell_of(counts[s], k) for s, k in zip(sets, least, strict=True)])
+        prefixes = [s[: len(s) - k + e] for s, k, e in zip(sets, least, ells, strict=True)]
+        flat = np.concatenate(prefixes)
+        who = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])[np.argsort(flat, kind="stable")]
+        upto = np.cumsum(np.bincount(flat, minlength=len(tokens)))
+        root = list(range(len(sets) + 1))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i in np.flatnonzero(linked):
+            root[i] = len(sets)
+        a, b = [], []
+        for i in open_:
+            lists = [who[upto[t] - k : upto[t]] for t in prefixes[i] if (k := upto[t] - (upto[t - 1] if t else 0)) > 1]
+            if not lists:
+                continue
+            met = np.bincount(np.concatenate(lists), minlength=len(sets))
+            near = (met >= np.minimum(ells, ells[i])) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n) & ((side != side[i]) | (side == 0))
+            near[i] = False
+            for j in np.flatnonzero(near):
+                if (linked[j] or j > i) and top(i) != top(j):
+                    apart = len(sets[i]) + len(sets[j]) - 2 * len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if (100 + percent) * apart <= (100 - percent) * int(n[i] + n[j]):
+                        root[top(i)] = top(j)
+                        a.append(int(node[i])), b.append(int(node[j]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, ["pivot", "cell"]):
+            p, c = table.column("pivot").to_numpy(), table.column("cell").to_numpy()
+            cuts = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (c[1:] != c[:-1])))
+            a, b = [], []
+            for s, e in zip(cuts, np.append(cuts[1:], len(p)), strict=True):
+                for all_, own in zip((a, b), links(table.slice(s, e - s)), strict=True):
+                    all_ += own
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 class Join:
@@ -329,130 +483,124 @@ class Join:
         pairs = common.written(pairs, name + "-pairs")
         common.free_shuffles(self.spark)
         self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        with common.batches_of(self.spark, 256):
+            return common.written(self.with_sets(pairs).mapInArrow(_verify, "a long, b long, common long, total long"), name)
+
+    def with_sets(self, pairs: DataFrame) -> DataFrame:
         x = self.sets.withColumnsRenamed({"node": "a", "tokens": "x"})
         y = self.sets.withColumnsRenamed({"node": "b", "tokens": "y"})
-        with common.batches_of(self.spark, 256):
-            return common.written(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, common long, total long"), name)
+        return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y")
 
-    def bounded(self, pairs: DataFrame, name: str, slack: float = 0.0) -> DataFrame:
-        """(a, b, bound) of the pairs whose bitmaps leave room for a similarity of ``percent``, less ``slack``."""
+    def bounded(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b) of the pairs whose bitmaps leave room for a similarity of ``percent``."""
         bits = self.rows.filter("bits is not null").select("node", "n", "bits")
         x, y = bits.withColumnsRenamed({"node": "a", "n": "na", "bits": "x"}), bits.withColumnsRenamed({"node": "b", "n": "nb", "bits": "y"})
-        least = max(0, math.floor(self.percent - 100 * slack))
         with common.batches_of(self.spark, 2048):
-            kept = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(_bounded(least), "a long, b long, bound double")
+            kept = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(_bounded(self.percent), "a long, b long")
             return common.written(kept.distinct(), name)
 
     def similar(self):
         return F.col("common") * 100 >= F.col("total") * self.percent
 
-    def stars(self) -> DataFrame:
-        """(node, pivot, distance) of nodes that stand in another's star or have one of their own."""
-        keys = self.rows.filter("keys is not null").select("node", "n", F.posexplode("keys").alias("k", "key"))
-        leaders = keys.groupBy("k", "key").agg(F.min(F.struct("n", "node")).alias("leader"), (F.min("node") != F.max("node")).alias("several")).filter("several")
-        met = keys.join(leaders, ["k", "key"]).filter((F.col("leader.node") != F.col("node")) & (F.col("leader.n") * 100 >= F.col("n") * self.percent))
-        pairs = met.groupBy(F.col("node").alias("b")).agg(F.min(F.col("leader")).alias("leader")).select(F.col("leader.node").alias("a"), "b")
-        self.star_links = self.verified(pairs, "stars").filter(self.similar())
-        led = self.star_links.select(F.col("b").alias("node"), F.col("a").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("distance"))
-        heads = led.select(F.col("pivot").alias("node")).distinct()
-        # A node that leads a star stays in its own; its link to its own leader is kept as a link.
-        members = led.join(heads, "node", "left_anti").unionByName(heads.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance")))
-        return common.written(members, "members")
+    def pivots(self) -> DataFrame:
+        """(a, b): a likely base text a of each node b that has one.
+
+        Of the nodes with the same minimum in a part of the hash range, the one with the largest share of hot tokens
+        leads; a node follows who leads it in most parts, two at least, and leaders follow theirs."""
+        order = F.struct("cold", "n", "node")
+        keys = self.rows.filter("keys is not null").select("node", "n", "cold", F.explode("keys").alias("key"))
+        leaders = keys.groupBy("key").agg(F.min(order).alias("leader"), (F.min("node") != F.max("node")).alias("several")).filter("several").select("key", "leader")
+        met = keys.join(leaders, "key").filter(F.col("leader.node") != F.col("node")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1")
+        best = F.min(F.struct(-F.col("keys"), "leader")).alias("best")
+        lead = common.written(met.groupBy("node").agg(best).select("node", F.col("best.leader.node").alias("lead")), "leads")
+        while True:
+            up = self.small(lead.select(F.col("node").alias("at"), F.col("lead").alias("further")))
+            lead = common.written(lead.join(up, lead["lead"] == up["at"], "left").select("node", F.coalesce("further", "lead").alias("lead"), F.col("further").isNotNull().alias("moved")), "leads")
+            if not lead.filter("moved").limit(1).count():
+                return lead.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            lead = lead.select("node", "lead")
+
+    def families(self) -> DataFrame:
+        """(pivot, node, size, n, linked, parts): nodes near a pivot and what they differ in from it."""
+        pairs = common.written(self.pivots(), "pivots")
+        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        with common.batches_of(self.spark, 256):
+            return common.written(self.with_sets(pairs).mapInArrow(_differ(self.percent), "pivot long, node long, size long, n long, linked boolean, parts binary"), "families")
+
+    def inside(self, families: DataFrame) -> DataFrame:
+        """Links between nodes of one family."""
+        counts = families.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.min("linked").alias("done")).filter("members > 1 and not done")
+        size = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("members") / BLOCKS)))
+        blocks = F.ceil(F.col("members") / size).cast("long")
+        rows = families.join(self.small(counts.select("pivot", blocks.alias("blocks"))), "pivot")
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cell = F.shiftleft(F.least("other", mine), 31) + F.greatest("other", mine)
+        side = F.when(F.col("other") == mine, 0).when(F.col("other") > mine, 1).otherwise(2)
+        rows = rows.select("pivot", cell.alias("cell"), side.alias("side"), "node", "size", "n", "linked", "parts")
+        met = rows.repartition(common.partitions(self.spark), "pivot", "cell").sortWithinPartitions("pivot", "cell")
+        with common.batches_of(self.spark, 2048):
+            return common.written(met.mapInArrow(_within(self.percent), "a long, b long"), "inside")
 
-    def components(self) -> DataFrame:
-        """(node, label): the smallest pivot of the component, of nodes in stars or with links."""
-        members = self.stars()
-        sizes = self.nodes.select("node", "n")
-        star = common.written(members.join(sizes, "node").groupBy("pivot").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("distance").alias("radius")), "radii")
-        posts = self.rows.filter("prefix is not null").select("node", "n", "ell", "prefix").join(self.small(members.select("node", "pivot")), "node", "left")
-        posts = posts.withColumn("pivot", F.coalesce("pivot", "node")).join(self.small(star.select("pivot", "lo", "hi")), "pivot", "left")
-        meta = F.shiftleft(F.col("ell").cast("long"), 56) + F.shiftleft(F.coalesce("lo", "n"), 28) + F.coalesce("hi", "n")
-        posts = posts.select("pivot", meta.alias("meta"), F.explode("prefix").alias("token"))
-        # Crowded shingles are dealt in cells, pairs of blocks, so no task gets a long list whole.
+    def crowded(self, posts: DataFrame) -> DataFrame:
+        """(token, top, chunks, blocks) of shingles with over ``BLOCK`` postings: the pivot with most of them, those
+        in chunks, and the others in blocks. Hot shingles only, so its rows are at most HOT_MOST."""
         tokens, counts = self.hot.value
-        many = [(int(t), int(-(-n // BLOCK))) for t, n in zip(tokens.view(np.int64), counts, strict=True) if n > BLOCK]
-        crowded = F.broadcast(self.spark.createDataFrame(many, "token long, blocks long"))  # HOT_MOST rows at most
-        posts = posts.join(crowded, "token", "left")
-        mine = F.pmod(F.col("pivot"), F.col("blocks"))
-        other = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-            F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.shiftleft(F.col("blocks"), 40) + F.shiftleft(F.least(o, mine), 20) + F.greatest(o, mine))
+        many = self.spark.createDataFrame(pa.table({"token": tokens.view(np.int64)[counts > BLOCK]}))
+        by = posts.join(F.broadcast(many), "token").groupBy("token", F.coalesce("pivot", "node").alias("pivot")).agg(F.count(F.lit(1)).alias("n"))
+        all_ = by.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "pivot")).alias("most"))
+        part = lambda x: F.ceil(x / F.lit(BLOCK)).cast("long")
+        return common.written(all_.filter(F.col("n") > BLOCK).select("token", F.col("most.pivot").alias("top"), part(F.col("most.n")).alias("chunks"), part(F.col("n") - F.col("most.n")).alias("blocks")), "crowded")
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """(a, b): pairs of nodes of different pivots that share prefix shingles enough."""
+        posts = self.rows.filter("prefix is not null").select("node", "n", "ell", "prefix").join(self.small(members), "node", "left")
+        posts = posts.select("node", "pivot", (F.shiftleft(F.col("ell").cast("long"), 34) + F.col("n")).alias("meta"), F.explode("prefix").alias("token"))
+        # A crowded shingle's postings are dealt in cells, so no task gets a long list whole: chunks of its largest
+        # family against blocks of the others, and those blocks among themselves.
+        posts = posts.join(F.broadcast(self.crowded(posts)), "token", "left")
+        zero = F.lit(0).cast("long")
+        upto = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<long>"))
+        chunk, block = F.pmod(F.xxhash64("node"), F.col("chunks")), F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)))
+        code = lambda kind, i, j, side: F.shiftleft(F.shiftleft(F.lit(kind).cast("long"), 30) + i, 32) + F.shiftleft(j, 2) + side
+        of_top = F.transform(upto(F.col("blocks")), lambda j: code(1, chunk, j, F.lit(1)))
+        of_rest = F.concat(
+            F.transform(upto(F.col("chunks")), lambda i: code(1, i, block, F.lit(2))),
+            F.transform(upto(F.col("blocks")), lambda o: code(0, F.least(o, block), F.greatest(o, block), F.when(o == block, 0).when(o > block, 1).otherwise(2))),
         )
-        posts = posts.select("token", F.explode(other).alias("cell"), "pivot", "meta")
-        met = posts.repartition(common.partitions(self.spark), "token", "cell").mapInArrow(_meet(self.percent), "a long, b long, need int")
-        pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
-        # Stars of one node each link only if similar themselves; larger ones need more room.
-        reach = star.agg(F.max("radius")).first()[0] or 0.0
-        near = self.bounded(pairs, "near", 2 * reach)
-        own = star.select(F.col("pivot").alias("node"), "radius")
-        for side in "ab":
-            near = near.join(self.small(own.withColumnsRenamed({"node": side, "radius": "r" + side})), side, "left").fillna(0.0, ["r" + side])
-        near = common.written(near.filter(F.col("bound") >= self.percent / 100 - F.col("ra") - F.col("rb") - 1e-9), "near")
-        common.free_shuffles(self.spark)
-        links = common.written(self.star_links.join(members.select(F.col("node").alias("b"), "pivot"), "b").filter("pivot != a").select("a", "b"), "links")
-        # First each star's likeliest partner; what is then joined needs no further proof.
-        ends = near.select(F.explode(F.array("a", "b")).alias("end"), F.struct("bound", "a", "b").alias("pair"))
-        first = ends.groupBy("end").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-        close = self.verified(first, "close")
-        links = common.written(links.union(close.filter(self.similar()).select("a", "b")), "links")
-        labels = self.labels(links)
-        side = lambda c: labels.select(F.col("pivot").alias(c), F.col("label").alias("l" + c))
-        rest = near.join(close.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        rest = self.verified(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")
-        links = common.written(links.union(rest.filter(self.similar()).select("a", "b")), "links")
-        doubt = close.union(rest).filter(~self.similar()).withColumn("distance", 1 - F.col("common") / F.col("total"))
-        for side in "ab":
-            doubt = doubt.join(self.small(own.withColumnsRenamed({"node": side, "radius": "r" + side})), side, "left").fillna(0.0, ["r" + side])
-        slack = 1e-9
-        bound = 1 - self.percent / 100 + slack
-        doubt = common.written(doubt.filter((F.col("ra") + F.col("rb") > 0) & (F.col("distance") <= bound + F.col("ra") + F.col("rb"))), "doubt")
-        if doubt.limit(1).count():
-            links = common.written(links.union(self.settle(members, doubt, links, bound)), "links")
-        labels = self.labels(links)
-        return members.select("node", "pivot").unionByName(labels.join(members, labels.pivot == members.node, "left_anti").select(F.col("pivot").alias("node"), "pivot")).join(labels, "pivot", "left").select("node", F.coalesce("label", "pivot").alias("label"))
+        cells = F.when(F.col("top").isNull(), F.array(zero)).when(F.col("top") == F.coalesce("pivot", "node"), of_top).otherwise(of_rest)
+        posts = posts.select("token", F.explode(cells).alias("code"), "node", "pivot", "meta")
+        posts = posts.select("token", F.shiftright("code", 2).alias("cell"), "node", "pivot", (F.col("meta") + F.shiftleft(F.col("code").bitwiseAND(F.lit(3).cast("long")), 32)).alias("meta"))
+        dealt = posts.repartition(common.partitions(self.spark), "token", "cell").sortWithinPartitions("token", "cell")
+        met = dealt.mapInArrow(_meet(self.percent), "a long, b long, need int")
+        return common.written(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b"), "across")
 
-    def settle(self, members: DataFrame, doubt: DataFrame, links: DataFrame, bound: float) -> DataFrame:
-        """Links between pivots whose stars may be linked by other members."""
+    def components(self) -> DataFrame:
+        """(node, label): the smallest node of the component, of nodes with links."""
+        families = self.families()
+        links = self.inside(families).unionByName(families.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        common.free_shuffles(self.spark)
         labels = self.labels(links)
-        side = lambda c: labels.select(F.col("pivot").alias(c), F.col("label").alias("l" + c))
-        left = lambda d, s: d.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb") if s else d
-        open_ = common.written(left(doubt.select("a", "b", "distance", "ra", "rb"), True), "open")
-        if not open_.limit(1).count():
-            return links.limit(0)
-        # Members of one star against the other's leader.
-        at = lambda own, far, r: members.filter("distance > 0").join(open_, members.pivot == F.col(own)).filter(F.abs(open_.distance - members.distance) <= bound + F.col(r)).select(F.col("node").alias("m"), F.col(far).alias("far"), F.col(own).alias("own"), members.distance.alias("near"))
-        probes = common.written(at("a", "b", "rb").unionByName(at("b", "a", "ra")), "probes")
-        seen = self.verified(probes.select(F.least("m", "far").alias("a"), F.greatest("m", "far").alias("b")).distinct(), "probed")
-        seen = seen.select(F.col("a").alias("u"), F.col("b").alias("v"), self.similar().alias("linked"), (1 - F.col("common") / F.col("total")).alias("d"))
-        probes = common.written(probes.join(seen, (F.least("m", "far") == seen.u) & (F.greatest("m", "far") == seen.v)).drop("u", "v"), "probes")
-        found = probes.filter("linked").select(F.col("own").alias("a"), F.col("far").alias("b"))
-        labels = self.labels(common.written(links.union(found), "links"))
-        side = lambda c: labels.select(F.col("pivot").alias(c), F.col("label").alias("l" + c))
-        rest = open_.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
-        rest = common.written(rest, "rest")
-        if not rest.limit(1).count():
-            return found
-        # Pairs of members that no distance to a leader rules out.
-        x = probes.filter(~F.col("linked")).select(F.col("own").alias("a"), F.col("far").alias("b"), F.col("m").alias("x"), F.col("near").alias("xa"), F.col("d").alias("xb"))
-        y = probes.filter(~F.col("linked")).select(F.col("far").alias("a"), F.col("own").alias("b"), F.col("m").alias("y"), F.col("near").alias("yb"), F.col("d").alias("ya"))
-        pairs = rest.select("a", "b").join(x, ["a", "b"]).join(y, ["a", "b"]).filter((F.abs(F.col("xb") - F.col("yb")) <= bound) & (F.abs(F.col("xa") - F.col("ya")) <= bound))
-        pairs = common.written(pairs.select("a", "b", "x", "y"), "last")
-        seen = self.verified(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "last-seen").filter(self.similar()).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        return found.union(pairs.join(seen, (F.least("x", "y") == seen.u) & (F.greatest("x", "y") == seen.v)).select("a", "b"))
+        side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+        near = self.across(families.select("node", "pivot")).join(side("a"), "a", "left").join(side("b"), "b", "left")
+        near = self.bounded(near.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near")
+        more = self.verified(near.select("a", "b"), "across").filter(self.similar()).select("a", "b")
+        return self.labels(links.unionByName(more))
 
     def labels(self, links: DataFrame) -> DataFrame:
-        """(pivot, label) of pivots with links: the smallest pivot that links reach."""
+        """(node, label) of nodes with links: the smallest node that links reach."""
         both = common.written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-        label = both.groupBy(F.col("a").alias("pivot")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
         label = common.written(label, "labels")
         while True:
-            heard = both.join(label, both.b == label.pivot).groupBy("a").agg(F.min("label").alias("heard"))
-            new = label.join(heard, label.pivot == heard.a, "left").select("pivot", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
-            jump = label.select(F.col("pivot").alias("at"), F.col("label").alias("further"))
-            new = new.join(jump, new.label == jump["at"], "left").select("pivot", F.least("label", "further").alias("label"), "old")
+            heard = both.join(label, both.b == label.node).groupBy("a").agg(F.min("label").alias("heard"))
+            new = label.join(heard, label.node == heard.a, "left").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
+            jump = label.select(F.col("node").alias("at"), F.col("label").alias("further"))
+            new = new.join(jump, new.label == jump["at"], "left").select("node", F.least("label", "further").alias("label"), "old")
             new = common.written(new, "labels")
             if not new.filter("label != old").limit(1).count():
-                return new.select("pivot", "label")
-            label = new.select("pivot", "label")
+                return new.select("node", "label")
+            label = new.select("node", "label")
 
 
 def linked_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

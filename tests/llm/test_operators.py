@@ -174,6 +174,25 @@ def test_ngram_join_hot_shingles(spark, monkeypatch):
     assert got == brute_groups(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("width", "percent", "edits"), [(3, 90, 6), (5, 80, 8)])
+def test_ngram_join_family(spark, monkeypatch, width, percent, edits):
+    """A family of 400 copies whose similarities lie around the threshold, dealt in blocks, and another beside it."""
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    r = random.Random(width)
+    bases = [[f"w{r.randrange(5000)}" for _ in range(150)] for _ in range(2)]
+    rows = []
+    for i in range(400):
+        t = list(bases[i % 7 == 0])
+        for _ in range(r.randint(1, edits)):
+            t[r.randrange(len(t))] = f"w{r.randrange(5000)}" if r.random() < 0.5 else f"w{r.randrange(3)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in ngram_join.linked_groups(df, width, percent).collect()], key=str)
+    assert got == brute_groups(rows, width, percent)
+    assert len({g for *_, g in got}) > 5
+
+
 def test_ngram_join_odd(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = sorted([tuple(r) for r in ngram_join.linked_groups(odd, 3, 90).collect()], key=str)
@@ -219,8 +238,8 @@ def test_prefixes_are_complete():
         b = np.unique(np.concatenate([a[r.random(len(a)) > 0.08], r.integers(0, 1 << 63, 1, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            la, pa = ngram_join.choose(a, hot, counts, 80)
-            lb, pb = ngram_join.choose(b, hot, counts, 80)
+            la, pa, _ = ngram_join.choose(a, hot, counts, 80)
+            lb, pb, _ = ngram_join.choose(b, hot, counts, 80)
             assert len(np.intersect1d(pa, pb)) >= min(la, lb)
 
 
