@@ -3,9 +3,11 @@
 Each rule looks at one property of a text and votes good, bad or abstains. Texts with the same votes
 are alike to the model, so all it needs is the count of each vote pattern, at most 3 ** rules of
 them, counted over all documents. Expectation-maximisation finds, without labels, the share of good
-texts and of each kind of fault, and how often each rule is right on them; the posterior probability
-that a text is good then replaces a list of rules that must all pass. Texts that fail the base limits are
-rejected whatever the model says.
+texts and of each family of faults, and how often each rule faults either: its false alarms among good
+texts and its hits in its own family. Several rules look at each family, so that it is their agreement that shows
+a fault: a rule that faults texts to which all others have no objection is found to be noisy and outvoted, two
+that seldom come together but in their family are believed. The posterior probability that a text is good then replaces a
+list of rules that must all pass. Texts that fail the base limits are rejected whatever the model says.
 
 Words are runs of characters that aren't white space. A null text has no words and fails. Empty
 tables give empty results, repeated rows the same verdict each, a null doc_id is carried. Ties in the
@@ -27,9 +29,10 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 #: The posterior probability of being good from which a text is kept.
 THRESHOLD = 0.5
-PSEUDO = 4.0
-#: How often a rule faults a good text, before any is seen.
-ALARM = 0.002
+#: Pseudo-votes for each rate and its first guess: false alarms, hits in a rule's own family, faults in others.
+PSEUDO, ALARM, HIT, STRAY = 10.0, 0.02, 0.6, 0.05
+#: A family of faults is one whose rules hit more often than not, and others don't; no rule is held to be without false alarms.
+LEAST_HIT, MOST_STRAY, LEAST_ALARM = 0.5, 0.5, 0.003
 
 _FLAG = {}
 for _name, _chars in {"symbol": b"#*$%&|<>", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "shout": b"!|", "stop": b".!?", "digit": b"0123456789"}.items():
@@ -39,7 +42,7 @@ _FLAG["point"] = (np.arange(256) & 0xC0) != 0x80
 _FLAG["word_point"] = _FLAG["point"] & ~vec.SPACE
 _FLAG["letter"] = _FLAG["upper"] | _FLAG["lower"] | (np.arange(256) >= 0xC0)
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shout", "n_stops", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shout", "n_stops", "n_distinct", "n_stutter"]
 FEATURES = ", ".join(f"{c} long" for c in COUNTS)
 
 
@@ -73,6 +76,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         found[name] = _per_doc(_FLAG[flag][data], offsets)
     found["n_stops"] = _per_doc(_FLAG["stop"][data[ends - 1]], docs) if len(ends) else np.zeros(n, np.int64)
     found["n_distinct"] = _per_doc(~_repeats(words, word_doc)[1], docs)
+    again = np.zeros(len(words), bool)
+    again[1:] = (words[1:] == words[:-1]) & (word_doc[1:] == word_doc[:-1])
+    found["n_stutter"] = _per_doc(again, docs)
     # Lines: from each document's start or the byte after \n, to the next \n or the document's end.
     breaks = np.flatnonzero(data == 10)
     line_starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
@@ -99,8 +105,14 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a / np.maximum(b, 1)
 
 
+#: The rules, by the family of faults that each looks at.
+NAMES = ["length", "upper", "word_length", "stops", "symbols", "letters", "shout", "repeats", "distinct", "lines", "stutter"]
+FAMILIES = [["length", "upper", "word_length", "stops"], ["symbols", "letters", "shout"], ["repeats", "distinct", "lines", "stutter"]]
+RULES = len(NAMES)
+
+
 def votes(f: dict[str, np.ndarray]) -> np.ndarray:
-    """A column a rule: 1 good, 2 bad, 0 abstains."""
+    """A column a rule, as in NAMES: 1 good, 2 bad, 0 abstains."""
     n = f["n_words"]
 
     def rule(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -108,27 +120,26 @@ def votes(f: dict[str, np.ndarray]) -> np.ndarray:
 
     symbols, repeated, upper = _ratio(f["n_symbols"], n), _ratio(f["n_repeat_words"], n), _ratio(f["n_upper"], f["n_letters"])
     length, letters, shout = _ratio(f["word_chars"], n), _ratio(f["n_letters"], f["word_chars"]), _ratio(f["n_shout"], n)
-    stops, distinct, dups = _ratio(f["n_stops"], n), _ratio(f["n_distinct"], n), _ratio(f["n_dup_lines"], f["n_lines"])
+    stops, dups, stutter = _ratio(f["n_stops"], n), _ratio(f["n_dup_lines"], f["n_lines"]), _ratio(f["n_stutter"], n)
+    distinct = f["n_distinct"] / np.sqrt(np.maximum(n, 1))  # hardly depends on the length of sound texts
     return np.stack(
         [
             rule(n >= 40, n < LEAST_WORDS),
-            rule(symbols < 0.02, symbols > 0.1),
-            rule(repeated < 0.03, repeated > 0.18),
             rule(upper < 0.15, upper > 0.4),
             rule((length >= 3) & (length <= 12), (length < 2) | (length > 16)),
-            rule(letters > 0.8, letters < 0.6),
-            rule(shout < 0.05, shout > 0.3),
             rule((stops > 0.02) & (stops < 0.4), (stops == 0) & (n > 60)),
-            rule(distinct > 0.3, (distinct < 0.1) & (n < 5000)),
+            rule(symbols < 0.02, symbols > 0.1),
+            rule(letters > 0.9, letters < 0.87),
+            rule(shout < 0.05, shout > 0.3),
+            rule(repeated < 0.03, repeated > 0.18),
+            rule(distinct > 2.8, distinct < 2.2),
             rule((dups == 0) & (f["n_lines"] > 1), (dups > 0.3) & (f["n_dup_lines"] > 2)),
+            rule(stutter < 0.03, stutter > 0.1),
         ],
         axis=1,
     )
 
 
-RULES = 10
-
-
 def pattern(v: np.ndarray) -> np.ndarray:
     return v @ (3 ** np.arange(v.shape[1]))
 
@@ -157,23 +168,23 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["pattern", "n"])
 
 
-def fit(counts: dict[int, int], rules: int = RULES, steps: int = 500) -> dict[int, float]:
+def fit(counts: dict[int, int], steps: int = 500) -> dict[int, float]:
     """Pattern -> posterior probability of being good, by expectation-maximisation on pattern counts.
 
-    Texts are good or have one kind of fault, one kind a rule, as faults seldom come together: a text full of
-    symbols may be sound by all other rules. Estimated are the share of each kind and how often each rule faults
-    a text of it. Abstentions say nothing. Pseudo-votes hold that rules seldom fault good texts (``ALARM``) and
-    mostly find their own kind."""
+    Texts are good or of one family of faults. Estimated are the share of each kind and how often each rule faults a
+    text of it; abstentions say nothing. ``PSEUDO`` votes, however many texts there are, stand for the first guesses."""
     if not counts:
         return {}
     patterns = np.array(sorted(counts))
     weight = np.array([counts[int(p)] for p in patterns], float)
-    v = patterns[:, None] // 3 ** np.arange(rules) % 3
+    v = patterns[:, None] // 3 ** np.arange(RULES) % 3
     says_good, says_bad = (v == 1).astype(float), (v == 2).astype(float)
-    prior = np.vstack([np.full(rules, ALARM), np.where(np.eye(rules) > 0, 0.9, 0.05)])
-    strength = np.append(weight.sum(), np.full(rules, PSEUDO))[:, None]
-    fault, share = prior.copy(), np.append(0.9, np.full(rules, 0.1 / rules))
-    post = np.zeros((len(patterns), rules + 1))
+    own = np.array([[name in family for name in NAMES] for family in FAMILIES])
+    guess = np.vstack([np.full(RULES, ALARM), np.where(own, HIT, STRAY)])
+    low = np.vstack([np.full(RULES, LEAST_ALARM), np.where(own, LEAST_HIT, 1e-6)])
+    high = np.vstack([np.full(RULES, 1 - 1e-6), np.where(own, 1 - 1e-6, MOST_STRAY)])
+    fault, share = guess.copy(), np.append(0.85, np.full(len(own), 0.15 / len(own)))
+    post = np.zeros((len(patterns), len(share)))
     for _ in range(steps):
         log = np.log(share) + says_bad @ np.log(fault).T + says_good @ np.log(1 - fault).T
         new = np.exp(log - log.max(1, keepdims=True))
@@ -184,7 +195,7 @@ def fit(counts: dict[int, int], rules: int = RULES, steps: int = 500) -> dict[in
             break
         w = (post * weight[:, None]).T
         share = np.clip(w.sum(1) / weight.sum(), 1e-9, 1)
-        fault = (w @ says_bad + strength * prior) / (w @ (says_good + says_bad) + strength)
+        fault = np.clip((w @ says_bad + PSEUDO * guess) / (w @ (says_good + says_bad) + PSEUDO), low, high)
     return {int(p): float(x) for p, x in zip(patterns, post[:, 0], strict=True)}
 
 
