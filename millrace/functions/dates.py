@@ -5,6 +5,7 @@ in an Arrow-batched UDF, after the plain ISO forms, which a Column reads."""
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import re
 from zoneinfo import ZoneInfo
@@ -99,6 +100,38 @@ def letters(time: Column, pattern: str) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def moment(t: dt.datetime, pattern: str) -> str:
+    """``letters`` for one time in Python."""
+    iso = t.isocalendar()
+    day = t.day
+    values = {
+        "d": f"{day:02}", "D": f"{t:%a}", "j": str(day), "l": f"{t:%A}", "F": f"{t:%B}", "m": f"{t.month:02}", "M": f"{t:%b}", "n": str(t.month), "Y": f"{t.year:04}", "y": f"{t.year % 100:02}",
+        "a": f"{t:%p}".lower(), "A": f"{t:%p}", "g": str((t.hour + 11) % 12 + 1), "G": str(t.hour), "h": f"{(t.hour + 11) % 12 + 1:02}", "H": f"{t.hour:02}", "i": f"{t.minute:02}", "s": f"{t.second:02}",
+        "c": f"{t:%Y-%m-%dT%H:%M:%S}+00:00", "r": f"{t:%a, %d %b %Y %H:%M:%S} +0000", "e": "UTC", "O": "+0000", "P": "+00:00", "T": "UTC", "I": "0", "Z": "0",
+        "w": str((t.weekday() + 1) % 7), "N": str(t.weekday() + 1), "z": str(t.timetuple().tm_yday - 1), "W": f"{iso[1]:02}", "t": str(calendar.monthrange(t.year, t.month)[1]), "L": str(int(calendar.isleap(t.year))), "o": str(iso[0]),
+        "U": str(int(t.replace(tzinfo=dt.timezone.utc).timestamp())), "S": "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th"), "u": f"{t.microsecond:06}", "v": f"{t.microsecond // 1000:03}",
+    }
+
+    def one(m: re.Match) -> str:
+        if m["quoted"] is not None or m["escaped"] is not None:
+            return m["quoted"] if m["quoted"] is not None else m["escaped"]
+        if m["roman"]:
+            n = values.get(m["roman"], "")
+            return _roman(int(n)) if n.isdigit() else n
+        return "" if m[0] == "xn" else values.get(m[0], m[0])
+
+    return re.sub(r'"(?P<quoted>[^"]*)"|\\(?P<escaped>.)|xr(?P<roman>.)|xn|.', one, pattern, flags=re.S)
+
+
+def _roman(n: int) -> str:
+    signs = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+    out = ""
+    for value, sign in signs:
+        out += sign * (n // value)
+        n %= value
+    return out
+
+
 def roman(n: Column) -> Column:
     """Roman numerals of 1 to 3999."""
     one = lambda d, a, b, c: F.element_at(F.array(*map(F.lit, ["", a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c])), (d % 10 + 1).cast("int"))

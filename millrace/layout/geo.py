@@ -696,14 +696,15 @@ def _albers_usa(m, l, p, o):
 
 @_iterative("eisenlohr")
 def _eisenlohr(m, l, p, o):
-    k = 3 + 2 * math.sqrt(2)
-    s0, c0 = np.sin(l / 2), np.cos(l / 2)
-    c = np.sqrt(np.maximum(np.cos(p), 0))
-    c1 = np.cos(p / 2)
-    t = np.sin(p / 2) / (c1 + math.sqrt(2) * c0 * c)
-    d = np.sqrt(2 / (1 + t * t))
-    v = np.sqrt((math.sqrt(2) * c1 + (c0 + s0) * c) / (math.sqrt(2) * c1 + (c0 - s0) * c))
-    return k * (d * (v - 1 / v) - 2 * np.log(v)), k * (d * t * (v + 1 / v) - 2 * np.arctan(t))
+    """As published in Snyder and Voxland's album of map projections."""
+    south_north, root = np.cos(p / 2), np.sqrt(np.maximum(np.cos(p), 0) / 2)
+    east, west = south_north + root * (np.cos(l / 2) + np.sin(l / 2)), south_north + root * (np.cos(l / 2) - np.sin(l / 2))
+    tangent = np.sin(p / 2) / (south_north + 2 * root * np.cos(l / 2))
+    secant = math.sqrt(2) / np.hypot(1, tangent)
+    ratio = np.sqrt(east / west)
+    x = secant * (ratio - 1 / ratio) - np.log(east / west)
+    y = secant * tangent * (ratio + 1 / ratio) - 2 * np.arctan(tangent)
+    return (3 + math.sqrt(8)) * x, (3 + math.sqrt(8)) * y
 
 
 NAMES = sorted({*CLOSED, *ITERATIVE})

@@ -1,23 +1,32 @@
 """Template expansion over tables: each level joins the calls still open with the pages they name.
 
-A level finds the innermost calls (no call inside), looks them all up in one join, and puts their
-text in. It stops when no call is open or at depth 40, as the recursion limit is. Each level is
-checkpointed where the session has a checkpoint folder, so that the plan doesn't grow with depth;
-elsewhere it is persisted."""
+A level finds the innermost calls (no call inside), looks them all up in one join, and puts their text in,
+between two marks that name the template. So each call knows the calls it came from: one to a template among
+them is a loop, more than 40 of them are too deep, and both become an error text. Arguments are expanded
+before the call, so they don't count as its inside. A page may call itself once, as it is no template call.
+Levels go on until no call is open. Each is written to the shared folder, so that the plan doesn't grow."""
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Iterator, Mapping
+from urllib.parse import quote, quote_plus
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.dates import WORDS, moment, parse_time
 from millrace.functions.infix import InfixError, evaluate
+from millrace.functions.titles import NAMESPACES
 from millrace.markup.tokens import included, split_top, template_parts, tokenize
+from millrace.scratch import written
 
 DEPTH = 40
+#: Marks around the text of a call, which never leave this module: begin, end of its name, end.
+_BEGIN, _NAMED, _END = "\ue0f0", "\ue0f1", "\ue0f2"
+_MARKS = re.compile(f"{_BEGIN}[^{_NAMED}]*{_NAMED}|{_END}")
 _INNER = re.compile(r"\{\{(?!\{)((?:(?!\{\{|\}\}).)*)\}\}", re.S)
 
 
@@ -68,12 +77,9 @@ def builtin(target: str, args: list[str], page: str, variables: Mapping[str, str
             return "|"
         if text == "=":
             return "="
-        known = {"pagename": page.split(":", 1)[-1], "fullpagename": page, "namespace": page.split(":", 1)[0] if ":" in page else "", "basepagename": page.rsplit("/", 1)[0], "subpagename": page.rsplit("/", 1)[-1], "rootpagename": page.split("/", 1)[0]}
-        if text.isupper() or text in variables:
-            if text.lower() in known:
-                return known[text.lower()]
-            return variables.get(text)
-        return None
+        if text in variables:
+            return variables[text]
+        return _word(text.lower(), page, variables) if text.upper() == text and text.lower() != text else None
     if hashed:
         if low == "if":
             return arg(0) if first.strip() else arg(1)
@@ -92,6 +98,10 @@ def builtin(target: str, args: list[str], page: str, variables: Mapping[str, str
         if low == "iferror":
             bad = re.search(r'class="[^"]*\berror\b', first)
             return arg(0) if bad else (rest[1].strip() if len(rest) > 1 else first)
+        if low == "time":
+            now = _clock(variables)
+            when = parse_time(arg(0), now) if arg(0) else now
+            return moment(when, first.strip()) if when else '<strong class="error">Error: Invalid time.</strong>'
         if low == "titleparts":
             parts = first.strip().split("/")
             n = int(arg(0) or 0)
@@ -116,21 +126,51 @@ def builtin(target: str, args: list[str], page: str, variables: Mapping[str, str
     if low == "plural":
         return arg(0) if first.strip() in ("1", "-1") else arg(1)
     if low == "urlencode":
-        from urllib.parse import quote_plus
-
         return quote_plus(first, safe="-_.")
     if low == "anchorencode":
         return re.sub(r"[\s_]+", "_", first.strip())
     if low in ("defaultsort", "displaytitle", "shortdesc"):
         return ""
+    if name.strip().isupper() and (of := _word(low, first.strip(), variables)) is not None:
+        return of
+    if low in ("fullurl", "localurl"):
+        local = "/wiki/" + quote(_title(":" + first.strip()).replace(" ", "_"), safe="/:;@$!*(),~") + (f"?{arg(0)}" if arg(0) else "")
+        return variables.get("SERVER", "") + local if low == "fullurl" else local
+    if low == "int":
+        return variables.get("int:" + first.strip(), f"⧼{first.strip()}⧽")
     if low == "ns":
-        from millrace.functions.titles import NAMESPACES
-
         x = first.strip()
         return NAMESPACES.get(int(x), "") if re.fullmatch(r"-?\d+", x) else next((n for n in NAMESPACES.values() if n.lower() == x.lower().replace("_", " ")), "")
     return None
 
 
+def _clock(variables: Mapping[str, str]) -> dt.datetime:
+    """The time of the pages: the variable ``clock``, in ISO form."""
+    return dt.datetime.fromisoformat(variables["clock"]).replace(tzinfo=dt.timezone.utc)
+
+
+def _word(word: str, page: str, variables: Mapping[str, str]) -> str | None:
+    """The value of a page-name, namespace, time or site word; None if there is no such word."""
+    of_time = re.fullmatch("(?:current|local)(.+)", word)
+    if of_time and of_time[1] in WORDS:
+        text = moment(_clock(variables), WORDS[of_time[1]])
+        return text.lstrip("0") if of_time[1] == "week" else text
+    space, colon, text = page.partition(":")
+    number = next((i for i, n in NAMESPACES.items() if colon and n and n.lower() == space.strip().lower().replace("_", " ")), 0)
+    if not number:
+        space, text = "", page
+    named = lambda i: NAMESPACES.get(i, "")
+    full = lambda i: f"{named(i)}:{text}" if named(i) else text
+    topic, talk = (number - number % 2, number | 1) if number >= 0 else (number, number)
+    values = {
+        "pagename": text, "fullpagename": full(number), "basepagename": text.rpartition("/")[0] or text, "subpagename": text.rpartition("/")[2], "rootpagename": text.partition("/")[0],
+        "talkpagename": full(talk), "subjectpagename": full(topic), "articlepagename": full(topic), "namespace": named(number), "namespacenumber": str(number),
+        "talkspace": named(talk) if number >= 0 else "", "subjectspace": named(topic), "articlespace": named(topic),
+        "server": variables.get("SERVER", ""), "numberofpages": variables.get("NUMBEROFPAGES", "0"), "getshortdesc": variables.get("shortdesc", ""), "protectionexpiry": "infinity",
+    }
+    return values.get(word)
+
+
 def _same(a: str, b: str) -> bool:
     number = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
     if number.fullmatch(a) and number.fullmatch(b):
@@ -154,6 +194,13 @@ def _switch(x: str, cases: list[str]) -> str:
     return default
 
 
+def _exists(call: str) -> tuple[str, list[str]] | None:
+    """The title that an existence test asks for, and its branches."""
+    head, *rest = split_top(call)
+    name, colon, title = head.partition(":")
+    return (_title(":" + title.strip()), rest) if colon and name.strip().lower() == "#ifexist" else None
+
+
 def _step(text: str, page: str, variables: Mapping[str, str]) -> tuple[str, list[str]]:
     """Innermost calls of functions done; the titles of the pages that innermost calls name."""
     wanted: list[str] = []
@@ -161,75 +208,101 @@ def _step(text: str, page: str, variables: Mapping[str, str]) -> tuple[str, list
     def one(m: re.Match) -> str:
         if "{{{" in m[0]:
             return m[0]
-        target, args = template_parts(m[1])
-        raw = split_top(m[1])[1:]
-        done = builtin(split_top(m[1])[0].strip(), raw, page, variables)
+        call = _MARKS.sub("", m[1])  # what was put in has no open call left, or this wouldn't be innermost
+        if asked := _exists(call):
+            wanted.append(asked[0])
+            return m[0]
+        parts = split_top(call)
+        done = builtin(parts[0].strip(), parts[1:], page, variables)
         if done is not None:
             return done
-        wanted.append(_title(target))
+        wanted.append(_title(template_parts(call)[0]))
         return m[0]
 
     return _INNER.sub(one, text), wanted
 
 
-def _fill(text: str, bodies: Mapping[str, str], page: str, path: list[str]) -> str:
+def _fill(text: str, bodies: Mapping[str, str], depth: int = DEPTH) -> str:
+    """The innermost calls replaced by the texts of the pages they name, in marks."""
+    path: list[str] = []
+    seen = 0
+
     def one(m: re.Match) -> str:
-        target, args = template_parts(m[1])
+        nonlocal seen
+        for mark in _MARKS.finditer(text, seen, m.start()):
+            if mark[0] == _END:
+                path.pop()
+            else:
+                path.append(mark[0][1:-1])
+        seen = m.end()  # marks within the call are of its arguments, and whole
+        if "{{{" in m[0]:
+            return m[0]
+        call = _MARKS.sub("", m[1])
+        if asked := _exists(call):
+            branch = asked[1][0 if bodies.get(asked[0]) is not None else 1 :][:1]
+            return branch[0].strip() if branch else ""
+        target, args = template_parts(call)
         title = _title(target)
-        if title == page or title in path:
+        if title in path:
             return f'<strong class="error">Template loop: [[{title}]]</strong>'
+        if len(path) >= depth:
+            return f'<strong class="error">Template too deep: [[{title}]]</strong>'
         if title not in bodies:
             return m[0]
         if bodies[title] is None:
             return f"[[:{title}]]"
         body = bind(included(bodies[title], True), {k: v for k, v, _ in args})
-        return "\n" + body if re.match(r"\{\||[*#:;]", body) and m.start() and text[m.start() - 1] != "\n" else body
+        line = _MARKS.sub("", text[max(0, m.start() - 200) : m.start()])[-1:]
+        own = "\n" + body if re.match(r"\{\||[*#:;]", body) and line not in ("", "\n") else body
+        return f"{_BEGIN}{title}{_NAMED}{own}{_END}"
 
     return _INNER.sub(one, text)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
+def expand(pages: DataFrame, library: DataFrame, variables: Mapping[str, str] | None = None, depth: int = DEPTH, clock: dt.datetime | None = None) -> DataFrame:
+    """(title, text) of pages with calls expanded. ``library`` has title and text of the pages calls may name.
 
-def expand(pages: DataFrame, library: DataFrame, variables: Mapping[str, str] | None = None, depth: int = DEPTH) -> DataFrame:
-    """(title, text) of pages with calls expanded. ``library`` has title and text of the pages calls may name."""
+    ``variables`` are further words, with ``SERVER``, ``NUMBEROFPAGES`` and messages as ``int:name`` among them; ``clock`` is
+    the time of the time words, now if it isn't given. A null text counts as empty."""
     from millrace.sources.search import resolve
 
-    variables = dict(variables or {})
-    work = pages.select("title", F.col("text").alias("text"), F.lit("").alias("path"))
+    now = clock or dt.datetime.now(dt.timezone.utc)
+    variables = {"clock": now.replace(tzinfo=None).isoformat()} | dict(variables or {})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for title, text, path in zip(b["title"], b["text"], b["path"], strict=True):
-                text = bind(included(text or "", False), {}) if not path else text
+            for title, text, fresh in zip(b["title"], b["text"], b["fresh"], strict=True):
+                text = bind(included(_MARKS.sub("", text or ""), False), {}) if fresh else text
                 new, wanted = _step(text, title, variables)
                 while new != text and not wanted:
                     text = new
                     new, wanted = _step(text, title, variables)
-                rows.append((title, new, path or "|", sorted(set(wanted))))
-            yield pd.DataFrame(rows, columns=["title", "text", "path", "wanted"])
+                rows.append((title, new, False, sorted(set(wanted))))
+            yield pd.DataFrame(rows, columns=["title", "text", "fresh", "wanted"])
 
     redirect = library.select("title", F.trim(F.regexp_extract("text", r"(?i)^\s*#redirect\s*:?\s*\[\[([^\]|#]+)", 1)).alias("target")).filter("target != ''")
     texts = library.select(F.col("title").alias("resolved"), F.col("text").alias("body"))
-    for _ in range(depth):
-        scanned = work.mapInPandas(scan, "title string, text string, path string, wanted array<string>")
-        scanned = _cut(scanned)
-        calls = scanned.select("title", F.explode("wanted").alias("call"))
-        if calls.isEmpty():
-            work = scanned.drop("wanted")
-            break
-        found = resolve(calls, redirect, "call").join(texts, "resolved", "left")
-        bodies = found.groupBy("title").agg(F.map_from_entries(F.collect_list(F.struct("call", F.coalesce("body", F.lit("\0")).alias("body")))).alias("bodies"))
-
-        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for title, text, path, own in zip(b["title"], b["text"], b["path"], b["bodies"], strict=True):
-                    known = {k: None if v == "\0" else v for k, v in (dict(own) if own is not None else {}).items()}
-                    rows.append((title, _fill(text, known, title, []) if known else text, path))
-                yield pd.DataFrame(rows, columns=["title", "text", "path"])
-
-        work = scanned.drop("wanted").join(bodies, "title", "left").mapInPandas(fill, "title string, text string, path string")
-    return work.select("title", "text")
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for title, text, fresh, own in zip(b["title"], b["text"], b["fresh"], b["bodies"], strict=True):
+                known = {k: None if v == "\0" else v for k, v in (dict(own) if own is not None else {}).items()}
+                rows.append((title, _fill(text, known, depth) if known else text, fresh))
+            yield pd.DataFrame(rows, columns=["title", "text", "fresh"])
+
+    work = pages.select("title", "text", F.lit(True).alias("fresh"))
+    done = None
+    while True:
+        scanned = written(work.mapInPandas(scan, "title string, text string, fresh boolean, wanted array<string>"), "expanded")
+        ready = scanned.filter(F.size("wanted") == 0).select("title", F.regexp_replace("text", _MARKS.pattern, "").alias("text"))
+        done = ready if done is None else done.union(ready)
+        open_ = scanned.filter(F.size("wanted") > 0)
+        if not open_.limit(1).count():
+            return done
+        calls = open_.select("title", F.explode("wanted").alias("call")).distinct()
+        found = resolve(calls.select("call").distinct(), redirect, "call").join(texts, "resolved", "left").select("call", F.coalesce("body", F.lit("\0")).alias("body"))
+        found = found.dropDuplicates(["call"])
+        bodies = calls.join(found, "call").groupBy("title").agg(F.map_from_entries(F.collect_list(F.struct("call", "body"))).alias("bodies"))
+        work = open_.drop("wanted").join(bodies, "title", "left").mapInPandas(fill, "title string, text string, fresh boolean")

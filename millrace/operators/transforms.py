@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.operators.aggregates import ORDER, aggregate_column, summaries
 from millrace.plans.expressions import Context, condition
 from millrace.plans.expressions import column as expression
+from millrace.scratch import written
 
 #: Cross products and lookups broadcast a side of at most so many rows, counted first.
 BROADCAST_ROWS = 200_000
@@ -36,24 +37,25 @@ def with_order(df: DataFrame, *by: str | Column, start: int = 0) -> DataFrame:
 def _prefix(df: DataFrame, order: list[Column], sums: dict[str, Column], start: float = 0, by: Sequence[str] = ()) -> DataFrame:
     """Exclusive running sums over an order, by few groups or over all rows, in two levels: within ranges, then across them.
 
-    Ranges are cut by groups and order together, so that a group of any size spreads over many tasks."""
+    Ranges are cut by groups and order together, ties by a hash of the row, so that a group of any size spreads over many
+    tasks. The ranged rows are written once with the number of their range: range bounds are sampled and partitions
+    merged at run time, so planning them twice would number them differently. Sums by range and group, which are
+    broadcast, have a row a range, and one more where a group begins within a range."""
     named = df.select("*", *[c.alias(f"__s_{n}") for n, c in sums.items()])
-    keys = [*[F.col(g).asc_nulls_first() for g in by], *order]
-    ranged = named.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
-    within = W.partitionBy("__part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = ranged
-    for n in sums:
-        rows = rows.withColumn(f"__w_{n}", F.coalesce(F.sum(f"__s_{n}").over(within), F.lit(0)))
-    totals = ranged.groupBy("__part", *by).agg(*[F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums])
-    before = (W.partitionBy(*by) if by else W).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row a range and group
-    for n in sums:
-        totals = totals.withColumn(f"__b_{n}", F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)))
-    for i, g in enumerate(by):
-        totals = totals.withColumnRenamed(g, f"__g{i}")
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    named = named.withColumns({f"__o_{i}": F.col(g) for i, g in enumerate(by)} | {"__tie": tie})
+    keys = [*[F.col(g).asc_nulls_first() for g in by], *order, F.col("__tie").asc()]
+    ranged = written(named.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "ranged")
+    own = [f"__o_{i}" for i in range(len(by))]
+    within = W.partitionBy("__part", *own).orderBy(*order, F.col("__tie").asc()).rowsBetween(W.unboundedPreceding, -1)
+    rows = ranged.withColumns({f"__w_{n}": F.coalesce(F.sum(f"__s_{n}").over(within), F.lit(0)) for n in sums})
+    totals = ranged.groupBy("__part", *own).agg(*[F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums])
+    before = (W.partitionBy(*own) if by else W).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(F.col("__part").alias("__p"), *[F.col(o).alias(f"__g{o}") for o in own], *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])
     on = F.col("__part") == F.col("__p")
-    for i, g in enumerate(by):
-        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    rows = rows.join(F.broadcast(totals.select(F.col("__part").alias("__p"), *[f"__g{i}" for i in range(len(by))], *[f"__b_{n}" for n in sums])), on)
+    for o in own:
+        on = on & F.col(o).eqNullSafe(F.col(f"__g{o}"))
+    rows = rows.join(F.broadcast(totals), on)
     return rows.select(*[F.col(f"`{c}`") for c in df.columns if c not in sums], *[(F.col(f"__w_{n}") + F.col(f"__b_{n}") + start).alias(n) for n in sums])
 
 
@@ -192,7 +194,7 @@ def stack(df: DataFrame, field: str, groupby: list[str] | None = None, sortby: s
     if not groupby or df.select(*groupby).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
         # Few groups may be of any size, so no group may meet in one task.
         totals = df.groupBy(*groupby).agg(F.sum(v).alias("__total"))
-        totals = totals.withColumn("__most", F.max("__total").over(W.partitionBy(F.lit(0))))
+        totals = totals.withColumn("__most", F.max("__total").over(W.partitionBy(F.lit(0))))  # a row a group, FEW_GROUPS at most
         for i, g in enumerate(groupby):
             totals = totals.withColumnRenamed(g, f"__h{i}")
         on = F.lit(True)
@@ -270,9 +272,18 @@ def impute(df: DataFrame, field: str, keys: list[str], groupby: list[str] | None
     if method == "value":
         fill = F.lit(value)
     else:
-        part = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
         x = F.col(field).cast("double")
-        fill = {"mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "min": F.min(x), "max": F.max(x)}[method].over(part)
+        fills = df.groupBy(*groups).agg({"mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "min": F.min(x), "max": F.max(x)}[method].alias("__fill"))
+        fills = fills.withColumnsRenamed({g: f"__g_{i}" for i, g in enumerate(groups)})
+        if groups:
+            same = F.lit(True)
+            for i, g in enumerate(groups):
+                same = same & F.col(g).eqNullSafe(F.col(f"__g_{i}"))
+            out = out.join(fills, same)
+        else:
+            out = out.crossJoin(F.broadcast(fills))  # one row
+        names = [c for c in out.columns if c.startswith("__g_") or c == "__fill"]
+        return out.withColumn(field, F.coalesce(F.col(field).cast("double"), F.col("__fill"))).drop(*names)
     return out.withColumn(field, F.coalesce(F.col(field).cast("double"), fill))
 
 
@@ -286,11 +297,6 @@ def treeify(df: DataFrame, groupby: list[str], output: str = "values") -> DataFr
     return out
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed where the session has a folder for that, persisted elsewhere."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
 def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1.0, height: float = 1.0) -> DataFrame:
     """Partition layout of a tree given by parent ids: depth, x0, x1 (share of the parent) and y0, y1 of each node.
 
@@ -305,7 +311,7 @@ def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1
     for step in itertools.count(1):
         up = walk.filter("parent is not null")
         up = up.select(F.col("parent").alias("id"), "v").groupBy("id").agg(F.sum("v").alias("v")).join(nodes.select("id", "parent"), "id")
-        up = _cut(up.select("id", "parent", "v"))
+        up = written(up.select("id", "parent", "v"), "walk")
         if up.isEmpty():
             break
         if step >= most:
@@ -322,7 +328,7 @@ def hierarchy(df: DataFrame, id_: str, parent: str, value: str, width: float = 1
         before = F.coalesce(F.sum("c_value").over(part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
         scale = F.try_divide(F.col("x1") - F.col("x0"), F.col("value"))
         level = kids.select(F.col("c_id").alias("id"), F.lit(depth).alias("depth"), (F.col("x0") + before * scale).alias("x0"), (F.col("x0") + (before + F.col("c_value")) * scale).alias("x1"), F.col("c_value").alias("value"))
-        level = _cut(level)
+        level = written(level, "level")
         if level.isEmpty():
             break
         if depth >= most:

@@ -204,9 +204,31 @@ def pie_segment(spark: SparkSession, sf: str) -> DataFrame:
     return _round(out.drop("v", ORDER), 6, "layout_start", "layout_mid", "layout_end")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders")
+@query("SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders")
 def rank_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return t.rank(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"]).drop("o_totalprice")
+    """All columns go along, in 16 ranges."""
+    return t.rank(table(spark, sf, "orders").repartition(16), ["-o_totalprice", "o_orderkey"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, round(e - l_quantity, 6) AS layout_start, round(e - l_quantity / 2, 6) AS layout_mid, round(e, 6) AS layout_end
+FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS e FROM lineitem)
+""")
+def stack_few_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Three groups that hold all rows, so sums run over ranges; all columns go along."""
+    out = t.stack(table(spark, sf, "lineitem").repartition(16), "l_quantity", ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return _round(out.select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "layout_start", "layout_mid", "layout_end"), 6, "layout_start", "layout_mid", "layout_end")
+
+
+@query(f"""
+WITH w AS (SELECT *, sum(c_acctbal + 1000) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS e, sum(c_acctbal + 1000) OVER () AS s FROM customer)
+SELECT c_custkey, c_name, c_mktsegment, round((e - c_acctbal - 1000) * {2 * math.pi!r} / s, 6) AS layout_start, round(e * {2 * math.pi!r} / s, 6) AS layout_end FROM w
+""")
+def pie_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """A slice a customer, by balance; all columns go along."""
+    customers = _ordered(table(spark, sf, "customer").withColumn("size", F.col("c_acctbal") + 1000).repartition(16), "c_custkey")
+    out = t.pie(customers, "size").select("c_custkey", "c_name", "c_mktsegment", "layout_start", "layout_end")
+    return _round(out, 6, "layout_start", "layout_end")
 
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rank FROM orders")
