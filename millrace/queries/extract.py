@@ -1,22 +1,42 @@
-"""Extractors on the driver's HTML pages, and on a few wiki pages built in the query."""
+"""Extractors on the driver's HTML pages, and on wiki pages written from the driver's tables: one a part, with a
+template library of nations and regions. Their SQL finds the answers in the tables, not in the markup."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.markup import expand, extract
 from millrace.queries import query, table
 
-WIKI = [
-    (1, "Alpha", "'''Alpha''' is the [[first letter|letter]]s of the [[Greek alphabet#History]].\n== History ==\nIt came from [[aleph]].<ref name=\"a\">One</ref> More<ref name=\"a\" /> and<ref>Two</ref>.\n=== Early ===\n[https://example.org Site] and https://example.com/x.\n[[Category:Letters|A]]\n[[Category:Greek]]"),
-    (2, "Beta", "{{Infobox|name=Beta|{{lc:NUMBER}}=2}}\n{| class=\"wikitable\"\n! H1 !! H2\n|-\n| a || b\n|}\n* one\n** two\n<nowiki>[[no]]</nowiki> [[:Category:Greek]] [[Category:greek]]"),
-    (3, "Gamma", "#REDIRECT [[Beta]]"),
-]
+#: The markup of a part's page, around its columns.
+PAGE = """'''{p_name}''' {p_partkey} is of the [[{p_brand}|brand {p_brand}]] and among the [[Type/{p_type}]]s.
+== Size ==
+It is {p_size}.<ref name="size">Measured {p_size}</ref> It costs<ref>List of {p_partkey}</ref> that much.<ref name="size" /><ref group="n">Note</ref>
+=== Part {p_partkey} in ''short'' ===
+<nowiki>[[no link]]</nowiki> [https://shop.example/{p_partkey} Shop] and https://parts.example/{p_size}.
+{{Infobox|name={p_name}|size = {p_size} |{p_brand}}}
+{| class="wikitable"
+! Brand !! Size
+|-
+| {p_brand} || {p_size}
+|}
+* of {p_type}
+** of {p_size}
+[[:Category:Unused]][[Category:{p_type}]]
+[[Category:size {p_size}|{p_partkey}]]"""
+
+
+def _filled(pattern: str) -> Column:
+    """A pattern with the columns it names in braces."""
+    parts = re.split(r"\{(p_\w+)\}", pattern)
+    return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WIKI, "page_id long, title string, text string")
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("Part "), "p_partkey").alias("title"), _filled(PAGE).alias("text"))
 
 
 @query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL")
@@ -41,48 +61,78 @@ def source_lines(spark: SparkSession, sf: str) -> DataFrame:
     return extract.source_lines(table(spark, sf, "documents"), "doc_id").select("page_id", "line", "text")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'first letter', 'letters'), (1, 'Greek alphabet', 'Greek alphabet#History'), (1, 'aleph', 'aleph'), (2, 'Category:Greek', 'Category:Greek'), (3, 'Beta', 'Beta')) t(page_id, target, caption) WHERE page_id < 3")
+@query("""
+SELECT p_partkey AS page_id, replace(p_brand, '#' || split_part(p_brand, '#', 2), '') AS target, 'brand ' || p_brand AS caption FROM part
+UNION ALL SELECT p_partkey, 'Type/' || p_type, 'Type/' || p_type || 's' FROM part UNION ALL SELECT p_partkey, 'Category:Unused', 'Category:Unused' FROM part
+""")
 def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.links(_pages(spark)).select("page_id", "target", "caption")
+    return extract.links(_pages(spark, sf)).select("page_id", "target", "caption")
 
 
-@query("SELECT * FROM (VALUES ('Letters', 1::BIGINT), ('Greek', 2)) t(category, pages)")
+@query("SELECT category, count(DISTINCT p_partkey) AS pages FROM (SELECT p_type AS category, p_partkey FROM part UNION ALL SELECT 'Size ' || p_size, p_partkey FROM part) GROUP BY ALL")
 def wiki_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.category_sizes(extract.categories(_pages(spark)))
+    return extract.category_sizes(extract.categories(_pages(spark, sf)))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 2::INTEGER, 'History', 'History'), (1, 3, 'Early', 'Early')) t(page_id, level, title, anchor)")
+@query("SELECT p_partkey AS page_id, 2::INTEGER AS level, 'Size' AS title, 'Size' AS anchor FROM part UNION ALL SELECT p_partkey, 3, 'Part ' || p_partkey || ' in short', 'Part_' || p_partkey || '_in_short' FROM part")
 def wiki_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.headings(_pages(spark)).drop("at")
+    return extract.headings(_pages(spark, sf)).drop("at")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '', 1::INTEGER, 'a', 'One', 2::BIGINT), (1, '', 2, NULL, 'Two', 1)) t(page_id, grp, number, name, text, uses)")
+@query("""
+SELECT p_partkey AS page_id, '' AS grp, 1::INTEGER AS number, 'size' AS name, 'Measured ' || p_size AS text, 2::BIGINT AS uses FROM part
+UNION ALL SELECT p_partkey, '', 2, NULL, 'List of ' || p_partkey, 1 FROM part UNION ALL SELECT p_partkey, 'n', 1, NULL, 'Note', 1 FROM part
+""")
 def wiki_references(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.references(_pages(spark))
+    return extract.references(_pages(spark, sf))
 
 
-@query("SELECT * FROM (VALUES (2::BIGINT, 'Infobox', 'Beta')) t(page_id, target, name)")
+@query("SELECT p_partkey AS page_id, 'Infobox' AS target, p_name AS name, p_size::VARCHAR AS size, p_brand AS first FROM part")
 def wiki_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.templates(_pages(spark)).filter("target = 'Infobox'").select("page_id", "target", F.try_element_at("arguments", F.lit("name")).alias("name"))
+    own = lambda n: F.try_element_at("arguments", F.lit(n))
+    return extract.templates(_pages(spark, sf)).select("page_id", "target", own("name").alias("name"), own("size").alias("size"), own("1").alias("first"))
 
 
-@query("SELECT * FROM (VALUES (2::BIGINT, 0::INTEGER, 0::INTEGER, true, 'H1'), (2, 0, 1, true, 'H2'), (2, 1, 0, false, 'a'), (2, 1, 1, false, 'b')) t(page_id, \"row\", col, heading, text)")
+@query("""
+SELECT p_partkey AS page_id, "row"::INTEGER AS "row", col::INTEGER AS col, "row" = 0 AS heading, CASE WHEN "row" = 0 THEN (['Brand', 'Size'])[col + 1] WHEN col = 0 THEN p_brand ELSE p_size::VARCHAR END AS text
+FROM part, range(2) r("row"), range(2) c(col)
+""")
 def wiki_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.table_cells(_pages(spark)).select("page_id", "row", "col", "heading", "text")
+    return extract.table_cells(_pages(spark, sf)).select("page_id", "row", "col", "heading", "text")
 
 
-@query("SELECT * FROM (VALUES (3::BIGINT, 'Beta')) t(page_id, target)")
+@query("SELECT s_suppkey AS page_id, n_name AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0 OR s_suppkey % 2 = 0")
 def wiki_redirects(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.redirects(_pages(spark))
+    """A page a supplier: every other one and those in debt redirect to their nation, the others say so in their text."""
+    both = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    moved = (F.col("s_acctbal") < 0) | (F.col("s_suppkey") % 2 == 0)
+    text = F.concat(F.when(moved, F.lit("#REDIRECT [[")).otherwise(F.lit("No #REDIRECT [[")), "n_name", F.lit("]]\n[[Category:Moved]]"))
+    return extract.redirects(both.select(F.col("s_suppkey").alias("page_id"), text.alias("text")))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'external', 'https://example.org', 'Site'), (1, 'url', 'https://example.com/x', NULL)) t(page_id, kind, target, caption)")
+@query("SELECT p_partkey AS page_id, 'external' AS kind, 'https://shop.example/' || p_partkey AS target, 'Shop' AS caption FROM part UNION ALL SELECT p_partkey, 'url', 'https://parts.example/' || p_size, NULL FROM part")
 def wiki_external_links(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.external_links(_pages(spark)).drop("at")
+    return extract.external_links(_pages(spark, sf)).drop("at")
+
 
+_LOOP = '<strong class="error">Template loop: [[Template:Loop]]</strong>'
 
-@query("SELECT * FROM (VALUES ('Page', 'Hello, Ann! ANN yes 12')) t(title, text)")
+
+@query(f"""
+SELECT c_name AS title, c_name || ' of ' || upper(n_name) || ' in ' || r_name || ', ' || c_mktsegment || ': ' || CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'has' END || ' ' || (c_custkey * 3 + 1)
+  || CASE WHEN c_nationkey % 5 = 0 THEN ' o{_LOOP}' ELSE ' [[:Template:Missing ' || c_nationkey || ']]' END || ' ' || CASE WHEN c_custkey % 7 < 5 THEN 'region ' || (c_custkey % 7) ELSE 'none' END AS text
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
 def template_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    library = spark.createDataFrame([("Template:Greet", "Hello, {{{1|you}}}!<noinclude>doc</noinclude> {{Loud|{{{1}}}}}"), ("Template:Loud", "{{uc:{{{1}}}}}"), ("Template:Hi", "#REDIRECT [[Template:Greet]]")], "title string, text string")
-    pages = spark.createDataFrame([("Page", "{{Hi|Ann}} {{#if:{{{x|}}}|no|yes}} {{#expr: 3 * 4}}")], "title string, text string")
-    return expand.expand(pages, library)
+    """A page a customer calls templates of nations, those of regions, by redirects, with arguments, loops and missing ones."""
+    c, n, r = (table(spark, sf, x) for x in ("customer", "nation", "region"))
+    page = F.concat(
+        F.lit("{{Nation "), "c_nationkey", F.lit("|{{PAGENAME}}|place={{Segment|"), "c_mktsegment", F.lit("}}}}: {{#ifexpr: "), F.col("c_acctbal").cast("decimal(18,2)"), F.lit(" < 0|owes|has}} {{#expr: "), "c_custkey", F.lit(" * 3 + 1}} {{#switch: "), F.col("c_nationkey") % 5,
+        F.lit("|0={{Loop}}|#default={{Missing "), "c_nationkey", F.lit("}}}} {{#ifexist:Template:Region "), F.col("c_custkey") % 7, F.lit("|region "), F.col("c_custkey") % 7, F.lit("|none}}"),
+    )
+    named = lambda kind, key: F.concat(F.lit(f"Template:{kind} "), key).alias("title")
+    library = n.select(named("Nation", "n_nationkey"), F.concat(F.lit("#REDIRECT [[Template:Land "), "n_nationkey", F.lit("]]")).alias("text"))
+    library = library.union(n.select(named("Land", "n_nationkey"), F.concat(F.lit("{{{1}}} of {{uc:"), "n_name", F.lit("}} in {{Region "), "n_regionkey", F.lit("}}, {{{place|nowhere}}}<noinclude>{{Missing}}</noinclude>"))))
+    library = library.union(r.select(named("Region", "r_regionkey"), F.concat("r_name", F.lit("<noinclude> is a region</noinclude>"))))
+    library = library.union(spark.createDataFrame([("Template:Segment", "{{{1}}}"), ("Template:Loop", "o{{Loop}}")], "title string, text string"))
+    return expand.expand(c.select(F.col("c_name").alias("title"), page.alias("text")), library)

@@ -249,16 +249,6 @@ def fold_measures(spark: SparkSession, sf: str) -> DataFrame:
     return t.fold(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"), ["l_quantity", "l_discount", "l_tax"])
 
 
-@query("""
-WITH d AS (SELECT user_id % 20 AS bucket, event_type, round(sum(value), 4) AS total FROM events WHERE user_id % 3 <> 0 OR event_type <> 'error' GROUP BY ALL)
-SELECT b.bucket, e.event_type, coalesce(d.total, 0) AS total FROM (SELECT DISTINCT bucket FROM d) b CROSS JOIN (SELECT DISTINCT event_type FROM d) e LEFT JOIN d USING (bucket, event_type)
-""")
-def impute_events(spark: SparkSession, sf: str) -> DataFrame:
-    events = t.filter_(table(spark, sf, "events"), "datum.user_id % 3 != 0 || datum.event_type != 'error'").withColumn("bucket", F.col("user_id") % 20)
-    sums = aggregate(events, ["bucket", "event_type"], [{"field": "value", "ops": ["sum"], "as": ["total"]}])
-    return t.impute(_round(sums, 4, "total"), "total", ["event_type"], ["bucket"])
-
-
 @query("""
 WITH d AS (SELECT o_custkey, o_orderpriority, round(sum(o_totalprice), 4) AS total FROM orders GROUP BY ALL)
 SELECT c.o_custkey, p.o_orderpriority, coalesce(d.total, 0) AS total FROM (SELECT DISTINCT o_custkey FROM orders) c CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p LEFT JOIN d USING (o_custkey, o_orderpriority)
@@ -307,15 +297,6 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return t.filter_(events, "datum.p.k > 50").select("event_id", F.col("p.k").cast("long").alias("k"))
 
 
-@query("""
-WITH a AS (SELECT event_id, user_id FROM events WHERE event_type = 'view'), b AS (SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0)
-SELECT event_id, user_id FROM a WHERE user_id NOT IN (SELECT user_id FROM b)
-""")
-def modify_remove(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return t.modify(e.filter("event_type = 'view'"), "remove", e.filter("event_type = 'purchase' AND event_id % 40 = 0"), "user_id").drop("event_type")
-
-
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def modify_remove_labelled(spark: SparkSession, sf: str) -> DataFrame:
     """All documents without all labelled ones; the labels cover some."""

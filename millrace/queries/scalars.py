@@ -86,12 +86,6 @@ def number_format(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", d(x, ".2f").alias("fixed"), d(x, ",.1f").alias("commas"), d(x, "08.2f").alias("padded"), d(F.col("p_partkey").cast("double"), "x").alias("hex"), d(F.col("p_size").cast("double"), "+d").alias("signed"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN printf('%.3g', o_totalprice / 1e6) || 'M' WHEN round(o_totalprice) >= 1000 THEN CAST(round(o_totalprice / 1000, 0) AS INTEGER) || 'k' ELSE CAST(round(o_totalprice) AS INTEGER) || '' END AS si FROM orders WHERE o_totalprice BETWEEN 100000 AND 900000")
-def number_si(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").filter(F.col("o_totalprice").between(100000, 900000))
-    return orders.select("o_orderkey", numbers.d3_format(F.col("o_totalprice"), ".3s").alias("si"))
-
-
 #: Three significant digits, ties away from zero, with the prefix of the rounded number's thousands.
 _SI_SQL = """
 WITH x AS (SELECT o_orderkey, unnest([o_totalprice, o_totalprice * 10]) AS v, unnest(['si', 'si_tens']) AS name FROM orders),
