@@ -9,8 +9,10 @@ comes back to a document is no text but its keep bitmap, run-length coded: the r
 of lines that stay. Texts are read again and cut by the bitmap.
 
 A key is the line without white space at both ends, A-Z lower-cased; empty keys never drop a line.
-Null and empty texts have one empty line. A document is a distinct pair of doc_id and text: rows
-that repeat both count once and get the same result each. An empty table gives an empty result."""
+Null and empty texts have one empty line. A document is a distinct pair of doc_id and text, null ids among
+them: rows that repeat both count once and get the same result each, another text with the same id is another
+document. An empty table gives an empty result. Other columns may have any names; one that is called n_lines or
+n_dropped comes back as n_lines_before or n_dropped_before."""
 
 from __future__ import annotations
 
@@ -44,6 +46,7 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     keys = docs.select(*_row_key(F.col(id_column), text), F.posexplode(_lines(text)).alias("pos", "line"))
     keys = keys.select("d1", "d2", "pos", _key(F.col("line")).alias("key")).filter(F.col("key") != "")
     hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), "key").alias("h2"), "d1", "d2", "pos")
+    hashed = common.written(hashed, "line-hashes")  # else the bounds of ranges were sampled by cutting all texts a second time
     ranged = hashed.repartitionByRange(max(2, common.partitions(spark)), "h1", "h2", "d1", "d2").sortWithinPartitions("h1", "h2", "d1", "d2", "pos")
     occurrences = common.written(ranged.withColumn("first", F.row_number().over(W.partitionBy("h1", "h2", "d1", "d2").orderBy("pos")) == 1), "lines")
     # Written, so that the join below deals both sides anew and adaptive execution may split a key.
@@ -64,19 +67,16 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def without_common_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 10) -> DataFrame:
     """``docs`` with ``text_column`` cut to the lines that stay, plus n_lines and n_dropped."""
     bitmaps = keep_bitmaps(docs, id_column, text_column, min_docs)
-    text = F.col(text_column)
-    d1, d2 = _row_key(F.col(id_column), text)
-    rows = docs.withColumn("__d1", d1).withColumn("__d2", d2)
-    rows = rows.join(bitmaps.withColumnsRenamed({"d1": "__d1", "d2": "__d2", "n_dropped": "__gone", "runs": "__runs"}), ["__d1", "__d2"], "left")
+    rows = docs.select(*_row_key(F.col(id_column), F.col(text_column)), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(bitmaps, ["d1", "d2"], "left")
+    # By the table's own columns, as names of the result must not be taken for them.
+    row, runs, gone = rows["row"], rows["runs"], rows["n_dropped"]
+    text = row[text_column]
     lines = _lines(text)
-    kept = F.flatten(F.transform("__runs", lambda r: F.slice(lines, r["start"] + 1, r["len"])))
-    names = [F.col(c) for c in docs.columns if c not in (text_column, "n_lines", "n_dropped")]
-    return rows.select(
-        *names,
-        F.when(F.col("__runs").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(text_column),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce("__gone", F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    cut = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
+    cut = F.when(runs.isNull(), F.coalesce(text, F.lit(""))).otherwise(cut)
+    others = [row[c].alias(c + "_before" if c in ("n_lines", "n_dropped") else c) for c in docs.columns if c != text_column]
+    return rows.select(*others, cut.alias(text_column), F.size(lines).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +85,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
+WITH d AS (
+  SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id, md5(coalesce(text, ''))) AS document, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, document, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
 ), k AS (
   SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l
 ), c AS (
-  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT document) >= 10
 )
-SELECT k.doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN c USING (key) GROUP BY k.doc_id
+FROM k LEFT JOIN c USING (key) GROUP BY r
 """

@@ -61,7 +61,7 @@ def test_exact_dedup_chains_collisions(spark, monkeypatch):
     """All texts in one bucket with few hashes: only byte comparison can tell them apart."""
     texts = [f"t{i % 7} {'x' * (i % 3)}" for i in range(60)]
     df = spark.createDataFrame(rows_of(texts), DOCS)
-    entries = exact_dedup.index_entries(df.select("doc_id", "text"), "doc_id", "text")
+    entries = exact_dedup.index_entries(exact_dedup.placed(df.select("doc_id", "text")), 0, 1)
     from pyspark.sql import functions as F
 
     same = entries.withColumn("h", F.lit(5).cast("long"))
@@ -75,11 +75,26 @@ def test_directory_doubles(spark):
 
     entries = spark.range(20000).select(F.xxhash64("id").alias("h"), F.lit(100).cast("long").alias("n_bytes"))
     d = exact_dedup.directory(entries, capacity=50_000)
-    assert sum(d.sizes.values()) == 2_000_000 and max(d.sizes.values()) <= 50_000
+    assert d.sizes.sum() == 2_000_000 and d.sizes.max() <= 50_000
     hot = entries.union(spark.range(1000).select(F.lit(77).cast("long"), F.lit(100_000).cast("long")))
     assert exact_dedup.directory(hot, capacity=50_000).depth <= d.depth + 2  # one heavy hash doesn't double it
-    cells = d.cells()
-    assert len(cells) == 2**d.depth and sorted(c[0] for c in cells) == list(range(2**d.depth))
+    cells = d.cells(7).to_pydict()
+    assert cells["cell"] == list(range(2**d.depth)) and cells["bucket"] == sorted(cells["bucket"]) and max(cells["bucket"]) == len(d.sizes) - 1
+    assert cells["owner"] == sorted(cells["owner"]) and set(cells["owner"]) == set(range(7))  # ranges of keys
+    shallow = exact_dedup.directory(entries, capacity=100, deepest=5)
+    assert shallow.depth == 5 and shallow.sizes.sum() == 2_000_000 and len(shallow.sizes) == 32
+
+
+def test_exact_dedup_overfull_buckets(spark, monkeypatch):
+    """A directory that may not double and tiny windows: owners still tell all classes apart."""
+    monkeypatch.setattr(exact_dedup, "DEEPEST", 1)
+    monkeypatch.setattr(exact_dedup, "BUCKET_BYTES", 10)
+    monkeypatch.setattr(exact_dedup, "BUCKET_LEAST", 10)
+    texts = [f"text {i % 83} {' ' * (i % 5)}" for i in range(400)]
+    df = spark.createDataFrame(rows_of(texts), DOCS).repartition(8)
+    got = exact_dedup.exact_duplicates(df).collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == brute_exact(list(enumerate(texts)))
+    assert exact_dedup.without_duplicates(df).count() == 83
 
 
 # --- line dedup
@@ -523,4 +538,35 @@ def test_clashing_names(spark):
     assert exact_dedup.exact_duplicates(df).count() == line_dedup.without_common_lines(df).count() == ngram_join.linked_groups(df).count() == 1
     assert quality.quality(df).count() == pii.personal_data(df).count() == 1
     assert mixing.mixed_documents(df).columns == quality.good_documents(df).columns == exact_dedup.without_duplicates(df).columns == df.columns
-    assert math.isfinite(1.0)
+
+
+def test_names_of_the_index(spark):
+    """Columns named like those of the dedup operators, and names that need quoting, come back unchanged."""
+    names = [n for n, _ in exact_dedup.ENTRY] + ["cell", "bucket", "owner", "__length", "c0", "c1", "row", "runs", "d1", "d2", "gone", "__runs", "n_lines", "n_dropped", "a.b", "pos", "line", "key"]
+    texts = ["same text\nx", "same  text\nx", "other", None]
+    rows = [(i, t, "en", "s", i, *[100 * i + k for k in range(len(names))]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS + "".join(f", `{n}` int" for n in names))
+    kept = exact_dedup.without_duplicates(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[1], rows[2], rows[3]]
+    assert exact_dedup.exact_duplicates(df).count() == 4
+    lines = line_dedup.without_common_lines(df, min_docs=2)
+    got = {r.doc_id: r.asDict() for r in lines.collect()}
+    assert [got[i]["n_dropped"] for i in range(4)] == [1, 1, 0, 0] and [got[i]["n_lines"] for i in range(4)] == [2, 2, 1, 1]
+    for r in rows:
+        want = dict(zip([n + "_before" if n in ("n_lines", "n_dropped") else n for n in names], r[5:], strict=True))
+        assert {n: got[r[0]][n] for n in want} == want
+
+
+def test_line_dedup_counts_documents(spark):
+    """A document is an id with a text: repeated rows are one, null ids and several texts of an id are told apart."""
+    import duckdb
+
+    rows = [(1, f"common\nown {i}") for i in range(5)] + [(None, f"common\nnull {i}") for i in range(4)] + [(2, "common\ntwice")] * 6 + [(3, "common")]
+    rows += [(i, "rare\n" + "x" * i) for i in range(4, 13)] + [(4, "rare\nxxxx")] * 9
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)
+    got = line_dedup.without_common_lines(df).collect()
+    assert sorted([(g.doc_id, g.n_lines, g.n_dropped, g.text) for g in got], key=str) == brute_lines(rows, 10)
+    assert sum(g.n_dropped for g in got) == 16
+    c = duckdb.connect()
+    c.register("documents", df.select("doc_id", "text").toArrow())
+    assert sorted(c.execute(line_dedup.SQL).fetchall(), key=str) == sorted([(g.doc_id, g.n_lines, g.n_dropped, hashlib.sha256(g.text.encode()).hexdigest()) for g in got], key=str)
