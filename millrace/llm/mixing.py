@@ -4,7 +4,7 @@ Each document gets a rate between 0 and ``most`` (3): the rates that stay closes
 words, to the corpus itself while each source's words meet its target and the source's mean
 log-length stays what it was. The dual of that problem is convex and has two numbers a source; its
 solution tilts the odds of a word exponentially, rate = most / (1 + (most - 1) exp(-(a + b g))),
-with g the document's centred log-length. Newton steps solve it: each step is one distributed
+with g the document's centred log-length: as rates are bounded, the tilt is of rate / (most - rate). Newton steps solve it: each step is one distributed
 aggregation of gradient and Hessian by source, so what reaches the driver is a row a source.
 
 Rates become whole copies. The floor is certain; the rest goes to the documents whose hash, divided
@@ -31,6 +31,10 @@ MOST = 3
 STEPS = 20
 BINS = 256
 ROUNDS = 4
+#: Sources whose parameters are broadcast, at most; more are joined by shuffle. The driver holds some numbers a source.
+FEW = 100_000
+#: Decimals of the multipliers that are kept: sums of doubles differ in the last places with the order of tasks.
+PLACES = 7
 
 
 def word_count(text: Column) -> Column:
@@ -58,9 +62,14 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return found
 
 
+def _few(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a row a source, with a hint to broadcast it if there are at most ``FEW``."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= FEW else df
+
+
 def _params(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A row a source, joined by broadcast: sources are few beside documents, and each row is small."""
-    return F.broadcast(spark.createDataFrame(rows, "p_source string, a double, b double, centre double, rest double, t double, capped boolean"))
+    return _few(spark, rows, "p_source string, a double, b double, centre double, rest double, t double, capped boolean")
 
 
 def _with(sizes: DataFrame, params: DataFrame) -> DataFrame:
@@ -86,7 +95,7 @@ def balance(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[dic
     size = {r.source: r.n for r in got}
     target = targets(list(size.items()), weights)
     state = {s: [0.0, 0.0] for s in size}  # rates of 1: the corpus itself
-    centre = {r.source: r.g / r.n if r.n else 0.0 for r in got}
+    centre = {r.source: round(r.g / r.n, PLACES) if r.n else 0.0 for r in got}
     capped = {s: not n or target[s] >= MOST * n * (1 - 1e-9) for s, n in size.items()}
 
     def rows(rest=None, threshold=None) -> list[tuple]:
@@ -115,11 +124,12 @@ def balance(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[dic
             state[s][1] += db / step
         if worst < 1e-9:
             break
+    state = {s: [round(x, PLACES) for x in ab] for s, ab in state.items()}
     # Thresholds: the words taken grow with t, in steps of one document.
     low, high = {s: 0.0 for s in size}, {s: 4.0 for s in size}
     for _ in range(ROUNDS):
-        spec = spark.createDataFrame([(s, low[s], high[s]) for s in size], "q_source string, low double, high double")
-        d = _with(sizes, _params(spark, rows())).filter(~F.col("capped")).join(F.broadcast(spec), F.col("source").eqNullSafe(F.col("q_source")))
+        spec = _few(spark, [(s, low[s], high[s]) for s in size], "q_source string, low double, high double")
+        d = _with(sizes, _params(spark, rows())).filter(~F.col("capped")).join(spec, F.col("source").eqNullSafe(F.col("q_source")))
         d = d.withColumn("rate", _rate()).withColumn("fraction", F.col("rate") - F.floor("rate"))
         bin_ = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((_place() - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * BINS))).cast("int")
         w = F.col("size")
@@ -153,8 +163,8 @@ def with_copies(docs: DataFrame, params: list[tuple]) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = common.written(common.documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     by_source, params = balance(sizes)
-    spec = spark.createDataFrame([(s, n, t) for s, (n, t) in by_source.items()], "k_source string, source_size long, target double")
-    mixed = with_copies(sizes, params).join(F.broadcast(spec), F.col("source").eqNullSafe(F.col("k_source")))
+    spec = _few(spark, [(s, n, t) for s, (n, t) in by_source.items()], "k_source string, source_size long, target double")
+    mixed = with_copies(sizes, params).join(spec, F.col("source").eqNullSafe(F.col("k_source")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
