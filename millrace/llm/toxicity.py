@@ -9,8 +9,9 @@
    spaces, punctuation around them aside, become one lattice with or without a word's end at each
    gap. Neither has a greatest length nor a least share of letters.
 3. A logistic model scores the restored text by the words it has. It is fitted on a bounded sample of
-   labelled rows (``PER_CLASS`` documents a label at most, by hash): words that toxic texts have
-   clearly more often become features, ridge-regularised Newton steps set their weights, and the
+   labelled rows (``PER_CLASS`` rows a label, those with the least hashes of the id): words that toxic texts have
+   clearly more often, counted where the texts are, become features, ``MOST_FEATURES`` at most; only which of
+   those each sampled text has reaches the driver. Ridge-regularised Newton steps set the weights, and the
    sample's classes are weighted back to their shares.
 
 A null text counts as empty and scores like any text without such words. Repeated rows score alike, a
@@ -259,6 +260,29 @@ def _word_sets(model):
     return run
 
 
+def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, words) -> how many toxic and other texts of a batch have each word."""
+    for batch in batches:
+        toxic = batch.column(0).to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        if sets:
+            words, at = np.unique(np.concatenate(sets), return_inverse=True)
+            label = np.repeat(toxic, [len(s) for s in sets])
+            a = np.bincount(at, weights=label, minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(a), pa.array(np.bincount(at, minlength=len(words)) - a)], names=["word", "a", "b"])
+
+
+def _having(words: np.ndarray):
+    """(toxic, words) -> toxic and the places of the chosen words that a text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = [np.flatnonzero(np.isin(words, np.frombuffer(x.as_buffer(), np.uint64))) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(has, pa.list_(pa.int64()))], names=["toxic", "has"])
+
+    return run
+
+
 class Classifier:
     """Words (sorted hashes), their weights and the intercept."""
 
@@ -276,32 +300,23 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[int, bytes]], shares: tuple[float, float]) -> Classifier:
-    """rows: label and sorted word hashes of each sampled text. shares: of the labels 0 and 1 among all labelled rows."""
-    rows = sorted(set(rows))  # copies of a text count once
+def constant(share: float) -> Classifier:
+    """Every text has the same score."""
+    p = min(max(share, 1e-13), 1 - 1e-9)
+    return Classifier(np.zeros(0, np.uint64), np.zeros(0), math.log(p / (1 - p)))
+
+
+def fit(words: np.ndarray, rows: list[tuple[int, list[int]]], shares: tuple[float, float]) -> Classifier:
+    """words: the features, sorted. rows: label and features of each sampled text. shares: of the labels 0 and 1 among all labelled rows."""
     y = np.array([r[0] for r in rows], float)
-    positive, negative = int(y.sum()), int(len(y) - y.sum())
-    if not positive or not negative:
-        p = min(max(shares[1], 1e-9), 1 - 1e-9)
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), math.log(p / (1 - p)))
-    sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-    all_words, at = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    a = np.bincount(at, weights=y[doc], minlength=len(all_words))
-    b = np.bincount(at, minlength=len(all_words)) - a
-    lift = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (negative + 1))
-    odd = a * lift  # how much a word tells, by how often it is met
-    good = np.flatnonzero((a >= max(2, 0.01 * positive)) & (lift > math.log(3)))
-    good = np.sort(good[np.argsort(-odd[good], kind="stable")][:MOST_FEATURES])
-    column = np.full(len(all_words), -1)
-    column[good] = np.arange(len(good))
-    x = np.zeros((len(rows), len(good) + 1))
+    positive = y.sum()
+    x = np.zeros((len(rows), len(words) + 1))
     x[:, -1] = 1
-    hit = column[at] >= 0
-    x[doc[hit], column[at[hit]]] = 1
-    weight = np.where(y == 1, shares[1] / positive, shares[0] / negative) * len(rows)
+    for i, (_, has) in enumerate(rows):
+        x[i, has] = 1
+    weight = np.where(y == 1, shares[1] / positive, shares[0] / (len(y) - positive)) * len(rows)
     w = np.zeros(x.shape[1])
-    ridge = np.append(np.full(len(good), 0.5), 1e-6)
+    ridge = np.append(np.full(len(words), 0.5), 1e-6)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (y - p)) - ridge * w
@@ -310,7 +325,7 @@ def fit(rows: list[tuple[int, bytes]], shares: tuple[float, float]) -> Classifie
         w += step / max(1.0, np.abs(step).max() / 3)
         if np.abs(step).max() < 1e-8:
             break
-    return Classifier(all_words[good], w[:-1], float(w[-1]))
+    return Classifier(words, w[:-1], float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, model) -> Classifier:
@@ -318,14 +333,22 @@ def train(docs: DataFrame, labels: DataFrame, model) -> Classifier:
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(23)), 11) / F.lit(float(1 << 53))
-    share = F.when(F.col("toxic") == 1, PER_CLASS / max(1, n.get(1, 0))).otherwise(PER_CLASS / max(1, n.get(0, 0)))
-    chosen = labels.filter(u < share).limit(4 * PER_CLASS)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = sample.mapInArrow(_word_sets(model), "toxic int, words binary").toArrow()
+        return constant(0.0)
     total = sum(n.values())
-    return fit(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), (n.get(0, 0) / total, n.get(1, 0) / total))
+    shares = n.get(0, 0) / total, n.get(1, 0) / total
+    least = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(PER_CLASS) for c in (0, 1)]
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(least[0].union(least[1])), "doc_id").select("toxic", "text")
+    sets = common.written(sample.mapInArrow(_word_sets(model), "toxic int, words binary").distinct(), "word-sets")  # copies of a text count once
+    sizes = {r.toxic: r.n for r in sets.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return constant(shares[1])
+    lift = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
+    counts = sets.mapInArrow(_by_word, "word long, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    telling = counts.filter((F.col("a") >= max(2, 0.01 * sizes[1])) & (lift > math.log(3)))
+    chosen = telling.orderBy((-F.col("a") * lift).asc(), "word").limit(MOST_FEATURES).select("word").toArrow()  # how much a word tells, by how often it is met
+    words = np.sort(chosen.column(0).to_numpy().view(np.uint64))
+    rows = sets.mapInArrow(_having(words), "toxic int, has array<long>").toArrow().to_pylist()
+    return fit(words, sorted((r["toxic"], r["has"]) for r in rows), shares)
 
 
 def _score(model, classifier):
