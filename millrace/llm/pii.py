@@ -17,8 +17,8 @@ The trees are fitted in numpy on a bounded set (``EXAMPLES`` texts) made from te
 features from the very expressions used on documents, and become CASE expressions.
 
 Null texts count as empty. Rows stay rows, repeated ones too; a null doc_id is carried; an empty
-table gives an empty result. Gathering places copies an array of spans a match, so a text with tens
-of thousands of matches is slow, though right."""
+table gives an empty result. Places are summed in chunks of matches and then over the chunks, so that texts with
+very many matches don't copy all sums for each."""
 
 from __future__ import annotations
 
@@ -74,26 +74,43 @@ CONTEXT = r"(?i)(mail|contact|phone|tel|call|fax|mobil|card|visa|iban|credit|pay
 FEATURES = ["kind", "digits", "letters", "length", "others", "luhn", "brackets", "sign", "before", "after", "context", "groups", "widest", "sentence", "spaces"]
 
 
+#: Matches whose places are summed together.
+CHUNK = 256
 _NONE = "cast(array() as array<struct<start:int,end:int,match:string,left:string,right:string>>)"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _starts(parts: Column) -> Column:
+    """The place of each of an array of structs (gap, n): after the gap before it and all gaps and lengths before that."""
+
+    def chunk(c: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)), zero, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out")))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(parts) / CHUNK).cast("int") - 1, F.lit(0))), chunk)
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("out"))
+    shifted = lambda acc, x: F.array(F.transform(x["out"], lambda y: y + acc["at"]))
+    return F.flatten(F.aggregate(chunks, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], shifted(acc, x)).alias("out")))["out"])
+
+
 def _spans(text: Column, pattern: str, gate: Column) -> Column:
     """array<struct<start, end, match, left, right>>: places in code points, and the text beside each match."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["m"].alias("match"), x["left"].alias("left"), x["right"].alias("right")))
-        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], one).alias("out"))
 
     def parts(z: Column) -> Column:
         gap = lambda i: F.coalesce(F.get(z["p"], i), F.lit(""))
         return F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), F.length(m).alias("n"), F.length(gap(i)).alias("gap"), F.right(gap(i), F.lit(24)).alias("left"), F.substring(gap(i + 1), 1, 2).alias("right")))
 
-    # An array of one struct binds both results to a name, so that each pattern runs over a text just twice.
-    both = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")))
-    found = F.transform(both, lambda z: F.aggregate(parts(z), zero, step, lambda acc: acc["out"]))
-    return F.when(gate, F.element_at(found, 1)).otherwise(F.expr(_NONE))
+    def placed(p: Column, starts: Column) -> Column:
+        return F.transform(p, lambda x, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + x["n"]).alias("end"), x["m"].alias("match"), x["left"].alias("left"), x["right"].alias("right")))
+
+    # Bound, so that each pattern runs over a text just twice.
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    found = _bound(both, lambda z: _bound(parts(z), lambda p: _bound(_starts(p), lambda s: placed(p, s))))
+    return F.when(gate, found).otherwise(F.expr(_NONE))
 
 
 def _beside(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
@@ -103,22 +120,23 @@ def _beside(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
 
 def _every_start(text: Column, pattern: str, gate: Column) -> Column:
     """As _spans, but of the match at every start, overlapping ones too: a lookahead consumes nothing."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        left, right = _beside(text, start, start + F.length(x["m"]))
-        one = F.array(F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("match"), left.alias("left"), right.alias("right")))
-        return F.struct(start.alias("at"), F.concat(acc["out"], one).alias("out"))
 
     def parts(z: Column) -> Column:
         # A text is not split at its very start, so a match there has no part before it.
         first = F.size(z["p"]) - F.size(z["m"]) - 1
-        return F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), F.when(i + first < 0, 0).otherwise(F.length(F.get(z["p"], i + first))).alias("gap")))
+        return F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), F.lit(0).alias("n"), F.when(i + first < 0, 0).otherwise(F.length(F.get(z["p"], i + first))).alias("gap")))
+
+    def placed(p: Column, starts: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            start = F.get(starts, i)
+            left, right = _beside(text, start, start + F.length(x["m"]))
+            return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("match"), left.alias("left"), right.alias("right"))
+
+        return F.transform(p, one)
 
-    both = F.array(F.struct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)).alias("m"), F.split(text, f"(?={pattern})", -1).alias("p")))
-    found = F.transform(both, lambda z: F.aggregate(parts(z), zero, step, lambda acc: acc["out"]))
-    return F.when(gate, F.element_at(found, 1)).otherwise(F.expr(_NONE))
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)).alias("m"), F.split(text, f"(?={pattern})", -1).alias("p"))
+    found = _bound(both, lambda z: _bound(parts(z), lambda p: _bound(_starts(p), lambda s: placed(p, s))))
+    return F.when(gate, found).otherwise(F.expr(_NONE))
 
 
 def _emails(text: Column) -> Column:
@@ -314,7 +332,7 @@ class Trees:
         return z
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt's scaling, then by kind the lowest threshold from which on precision is ``PRECISION``."""
+        """Platt's scaling, then by kind the threshold of the best F1 among those with a precision of ``PRECISION``."""
         z = self.raw(x)
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -329,9 +347,12 @@ class Trees:
         for k in range(len(KINDS)):
             own = x[:, 0] == k
             order = np.argsort(-p[own], kind="stable")
-            right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-            fits = np.flatnonzero(right >= PRECISION)
-            self.threshold[k] = float(max(0.5, p[own][order][fits[-1]])) if len(fits) else 2.0
+            hits, taken = np.cumsum(y[own][order]), np.arange(1, own.sum() + 1)
+            f1 = np.where(hits >= PRECISION * taken, 2 * hits / (taken + max(1.0, y[own].sum())), 0)
+            if len(f1) and f1.max() > 0:
+                at, scores = int(f1.argmax()), p[own][order]
+                # Half-way to the next score, which would cost more than it brings.
+                self.threshold[k] = float((scores[at] + scores[min(at + 1, len(scores) - 1)]) / 2)
 
     def column(self, c: Column) -> Column:
         """The calibrated probability of a candidate struct."""
@@ -474,4 +495,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size("base_" + k).cast("long").alias("n_" + k) for k in KINDS],
         F.sha2(F.array_join(F.concat(*base), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(*every), ",").alias("spans"),
+        F.size(F.concat(*every)).cast("long").alias("n_spans"),
     )
