@@ -94,7 +94,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_colum
     version = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col(text_column), F.lit(""))
     digest = F.unhex(F.sha2(text, 256)).alias("digest")
-    keys = docs.select(F.col(id_column), digest, F.octet_length(text).cast("long").alias("n_bytes"))
+    # Written, as it is used twice and each use would hash all texts again.
+    keys = common.written(docs.select(F.col(id_column), digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
 
     def cache() -> DataFrame:
         return spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).drop("tokenizer")
