@@ -60,7 +60,7 @@ SMALL = 200_000
 #: Postings of one shingle that meet in one task, about; longer lists are dealt in blocks of this.
 BLOCK = 1024
 #: A family is dealt in so many blocks, of so many nodes at least and at most; two blocks meet in one task.
-BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8, 256, 32768
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 128, 32768
 
 _U = np.uint64
 SETS = "doc_id long, mark long, n long, node long, keys array<long>, cold double, ell int, prefix array<long>, bits binary"
