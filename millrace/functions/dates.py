@@ -174,7 +174,7 @@ def time_word(name: str, clock: Column) -> Column:
 
 _MONTHS = {m: i for i, names in enumerate(["jan january i", "feb february ii", "mar march iii", "apr april iv", "may v", "jun june vi", "jul july vii", "aug august viii", "sep sept september ix", "oct october x", "nov november xi", "dec december xii"], 1) for m in names.split()}
 _DAYS = {d: i for i, names in enumerate(["mon monday mondays", "tue tues tuesday tuesdays", "wed wednesday wednesdays", "thu thur thurs thursday thursdays", "fri friday fridays", "sat saturday saturdays", "sun sunday sundays"]) for d in names.split()}
-_NUMBERS = {n: i for i, n in enumerate("zero first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split())} | {"next": 1, "last": -1, "previous": -1, "this": 0}
+_NUMBERS = {n: i for i, n in enumerate("zero first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split())} | {"next": 1, "last": -1, "previous": -1, "this": 0, "eight": 8}
 _UNIT = {u: k for k, us in {"microsecond": "usec usecs microsecond microseconds µs", "millisecond": "ms msec msecs millisecond milliseconds", "second": "sec secs second seconds", "minute": "min mins minute minutes", "hour": "hour hours", "day": "day days", "weekday": "weekday weekdays", "week": "week weeks", "fortnight": "fortnight fortnights forthnight forthnights", "month": "month months", "year": "year years"}.items() for u in us.split()}
 _ZONES = {"utc": 0, "gmt": 0, "z": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7, "cet": 1, "cest": 2, "bst": 1, "wet": 0, "west": 1, "eet": 2, "eest": 3, "msk": 3, "ist": 5.5, "jst": 9, "aest": 10, "aedt": 11}
 _M = "(?P<mon>" + "|".join(sorted(_MONTHS, key=len, reverse=True)) + ")"
@@ -210,9 +210,9 @@ _RULES = [(n, re.compile(r, re.I)) for n, r in [
     ("hour", r"(?P<h>1[0-2]|0?[1-9])[ \t]*(?P<ap>[ap])\.?m\.?(?![a-z])"),
     ("zone", r"(?:(?:utc|gmt)?(?P<sg>[+-])(?P<zh>\d{1,2}):?(?P<zm>[0-5]\d)?(?![\d:]|[ \t]*(?:" + "|".join(sorted(_UNIT, key=len, reverse=True)) + r")))"),
     ("relative", r"(?P<n>[+-]*[ \t]*\d+)[ \t]*(?P<u>" + "|".join(sorted(_UNIT, key=len, reverse=True)) + r")(?![a-z])(?P<ago>[ \t]+ago)?"),
-    ("relday", r"(?P<n>[+-]+[ \t]*\d+)[ \t]*(?P<d>" + _D[3:-1] + r")(?![a-z])"),
+    ("relday", r"(?P<n>[+-]+[ \t]*\d+|\d{1,2})[ \t]*(?P<d>" + _D[3:-1] + r")(?![a-z])(?P<ago>[ \t]+ago)?"),
     ("named", r"(?P<n>" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + r")[ \t]+(?P<u>" + "|".join(sorted(_UNIT, key=len, reverse=True)) + r")(?![a-z])(?P<ago>[ \t]+ago)?"),
-    ("nameday", r"(?P<n>" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + r")[ \t]+(?P<d>" + _D[3:-1] + r")(?![a-z])"),
+    ("nameday", r"(?P<n>" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + r")[ \t]+(?P<d>" + _D[3:-1] + r")(?![a-z])(?P<ago>[ \t]+ago)?"),
     ("word", r"(?P<w>now|today|midnight|noon|tomorrow|yesterday)(?![a-z])"),
     ("day", r"(?P<d>" + _D[3:-1] + r")(?![a-z])"),
     ("month", _M + r"(?![a-z])"),
@@ -247,6 +247,7 @@ def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
     tz: dt.tzinfo = ZoneInfo(zone)
     rel = dict.fromkeys(["month", "day", "second", "us", "weekdays"], 0)
     weekday: tuple[int, int] | None = None
+    counts_today = ago = weekdays = False
     special: tuple | None = None
     stamp = None
     reset = False
@@ -288,7 +289,7 @@ def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
             if v.get("y"):
                 y = _year(v["y"])
         elif name == "month":
-            m, reset = _MONTHS[v["mon"].lower()], True
+            m = _MONTHS[v["mon"].lower()]
         elif name == "year":
             if h is None and reset is False and y is None and int(v["y"][:2]) < 24 and int(v["y"][2:]) < 60:
                 h, mi, s, us = int(v["y"][:2]), int(v["y"][2:]), 0, 0  # four digits alone are a time of day
@@ -323,12 +324,13 @@ def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
             if u in ("year", "month"):
                 rel["month"] += n * (12 if u == "year" else 1)
             elif u in ("day", "week", "fortnight"):
-                if u == "week" and name == "named" and raw in ("next", "last", "previous", "this") and weekday:
-                    special = ("week", n)
+                if u == "week" and name == "named" and raw in ("next", "last", "previous", "this"):
+                    special = ("week", n)  # a day of that week, Monday if none is named
                 else:
                     rel["day"] += n * {"day": 1, "week": 7, "fortnight": 14}[u]
             elif u == "weekday":
                 rel["weekdays"] += n
+                weekdays = True
             elif u in ("microsecond", "millisecond"):
                 rel["us"] += n * (1 if u == "microsecond" else 1000)
             else:
@@ -341,7 +343,8 @@ def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
             raw = v["n"].lower()
             n = _NUMBERS[raw] if name == "nameday" else int(re.sub(r"[^\d]", "", raw)) * (-1 if raw.count("-") % 2 else 1)
             weekday = (_DAYS[v["d"].lower()], n)
-            if h is None:
+            counts_today, ago = name == "relday", bool(v["ago"])
+            if h is None and name == "nameday":
                 h = mi = s = us = 0
         elif name == "of":
             special = (v["end"].lower(),)
@@ -349,6 +352,8 @@ def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
             special = ("nth", _NUMBERS[v["n"].lower()], _DAYS[v["d"].lower()])
             if h is None:
                 h = mi = s = us = 0
+    if stamp is not None:
+        tz = dt.timezone.utc  # a zone beside a stamp says nothing
     local = now.astimezone(tz)
     if h is None:
         if reset or y is not None and stamp is None:
@@ -377,19 +382,23 @@ def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
             day = after - dt.timedelta(days=(after.weekday() - want) % 7)
         day += dt.timedelta(days=rel["day"])
     else:
-        day += dt.timedelta(days=d - 1 + rel["day"])
-        if weekday:
+        day += dt.timedelta(days=d - 1)
+        if special and special[0] == "week":
+            day += dt.timedelta(days=(weekday[0] if weekday else 0) - day.weekday() + 7 * special[1])
+        elif weekday:
             want, n = weekday
-            ahead = (want - day.weekday()) % 7
-            if special and special[0] == "week":
-                day = day - dt.timedelta(days=day.weekday()) + dt.timedelta(days=want + 7 * special[1])
+            ahead, back = (want - day.weekday()) % 7, (day.weekday() - want) % 7
+            if ago:  # so many weeks less one before the day's last occurrence
+                day -= dt.timedelta(days=(back or 7) + 7 * (n - 1 if n > 0 else n))
             elif n > 0:
-                day += dt.timedelta(days=(ahead or 7) + 7 * (n - 1))
+                day += dt.timedelta(days=(ahead if counts_today else ahead or 7) + 7 * (n - 1))
             elif n < 0:
-                back = (day.weekday() - want) % 7
                 day -= dt.timedelta(days=(back or 7) + 7 * (-n - 1))
             else:
                 day += dt.timedelta(days=ahead)
+        day += dt.timedelta(days=rel["day"])
+    while weekdays and not rel["weekdays"] and day.weekday() > 4:
+        day += dt.timedelta(days=1)
     step = 1 if rel["weekdays"] >= 0 else -1
     for _ in range(abs(rel["weekdays"])):
         day += dt.timedelta(days=step)

@@ -69,6 +69,27 @@ def date_parse(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("o_orderkey", dates.free_text(F.col("d"), now).alias("parsed"), dates.free_text(F.concat("iso", F.lit(" +2 weeks")), now).alias("later"), dates.free_text(F.concat(F.lit("first day of "), "iso"), now).alias("first")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("parsed", "later", "first")})
 
 
+@query("""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS d, isodow(o_orderdate) AS w FROM orders)
+SELECT o_orderkey, d AS american, d AS pointed, d + INTERVAL 3723 SECOND AS compact, d AS day_of_year, d AS iso_week, CAST(date_trunc('week', d) AS TIMESTAMP) + INTERVAL 7 DAY AS next_monday,
+  CAST(last_day(d) AS TIMESTAMP) AS month_end, d + INTERVAL 12 HOUR AS noon, d - INTERVAL 10 DAY AS before, d + to_days(CAST(CASE WHEN w >= 5 THEN 12 - w ELSE 5 - w END AS INTEGER)) AS friday,
+  CAST(date_trunc('month', d) AS TIMESTAMP) + to_days(CAST((8 - isodow(date_trunc('month', d))) % 7 + 7 AS INTEGER)) AS second_monday
+FROM o
+""")
+def date_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Eleven written forms of each order's date, absolute and relative, read back."""
+    now = dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc)
+    d = F.col("o_orderdate")
+    iso = F.date_format(d, "yyyy-MM-dd")
+    after = lambda text: F.concat(iso, F.lit(text))
+    before = lambda text: F.concat(F.lit(text), iso)
+    forms = {
+        "american": F.date_format(d, "M/d/yyyy"), "pointed": F.date_format(d, "dd.MM.yyyy"), "compact": F.date_format(d, "yyyyMMdd'T010203'"), "day_of_year": F.date_format(d, "yyyyDDD"), "iso_week": dates.letters(d, 'o"-W"W"-"N'),
+        "next_monday": after(" monday next week"), "month_end": before("last day of "), "noon": after(" noon"), "before": after(" 10 days ago"), "friday": after(" next friday"), "second_monday": before("second monday of "),
+    }
+    return table(spark, sf, "orders").select("o_orderkey", *[dates.free_text(text, now).cast("timestamp_ntz").alias(name) for name, text in forms.items()])
+
+
 @query("SELECT event_id, CAST(floor(x / 86400) AS BIGINT) AS days, CAST(floor((x % 86400) / 3600) AS BIGINT) AS hours, CAST(floor((x % 3600) / 60) AS BIGINT) AS minutes, CAST(x % 60 AS BIGINT) AS seconds FROM (SELECT event_id, CAST(event_id * 977 AS BIGINT) AS x FROM events)")
 def duration_intervals(spark: SparkSession, sf: str) -> DataFrame:
     d = dates.duration(F.col("event_id") * 977, ["days", "hours", "minutes", "seconds"])

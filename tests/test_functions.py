@@ -21,6 +21,17 @@ def test_free_text_dates(source, want):
     assert dates.parse_time(source, NOW).strftime("%Y-%m-%d %H:%M:%S") == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("1 monday", "2021-03-15 10:30:00"), ("1 wednesday", "2021-03-10 10:30:00"), ("2 wednesday", "2021-03-17 10:30:00"), ("2 sundays ago", "2021-02-28 10:30:00"), ("last saturday ago", "2021-03-13 00:00:00"), ("third friday ago", "2021-02-19 00:00:00"),
+    ("this week", "2021-03-08 10:30:00"), ("next week", "2021-03-15 10:30:00"), ("this week tuesday", "2021-03-09 00:00:00"), ("sunday last week", "2021-03-07 00:00:00"), ("previous week friday", "2021-03-05 00:00:00"),
+    ("october", "2021-10-10 10:30:00"), ("eight weekday", "2021-03-22 10:30:00"), ("2021-03-13 this weekday", "2021-03-15 00:00:00"), ("@86400 +0200", "1970-01-02 00:00:00"), ("Mon, 01 Mar 2021 08:00:00 +0000 +30 days", "2021-03-31 08:00:00"),
+])
+def test_relative_dates(source, want):
+    """Counted weekdays begin today, weeks begin on Monday, weekdays are found before other steps are made. Now is a Wednesday."""
+    now = dt.datetime(2021, 3, 10, 10, 30, tzinfo=dt.timezone.utc)
+    assert dates.parse_time(source, now).strftime("%Y-%m-%d %H:%M:%S") == want
+
+
 @pytest.mark.parametrize("source", ["foo bar", "2008-13-45x", "32nd of never"])
 def test_unreadable_dates(source):
     assert dates.parse_time(source, NOW) is None
