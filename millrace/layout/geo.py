@@ -171,7 +171,7 @@ def _foucaut(m, l, p, o):
 
 @_closed("kavrayskiy7")
 def _kavrayskiy7(m, l, p, o):
-    return math.sqrt(3) * l / (2 * PI) * m.sqrt(m.clip(PI * PI / 3 - p * p, 0.0, 10.0)), p
+    return 3 * l / (2 * PI) * m.sqrt(m.clip(PI * PI / 3 - p * p, 0.0, 10.0)), p
 
 
 @_closed("wagner6")
