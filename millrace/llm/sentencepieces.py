@@ -32,7 +32,7 @@ MARK = "▁"
 LONG = 200
 #: Characters of new parts that are matched at a time, and parts remembered by a task's process.
 CHUNK = 400_000
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _models: dict[str, Pieces] = {}
 
@@ -316,17 +316,15 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.clear()
         known = self.known
-        new = list(dict.fromkeys(p for c in cut for p in c if p not in known))
-        if new:
+        every = [p for c in cut for p in c]
+        if new := list(dict.fromkeys(p for p in every if p not in known)):
             self._learn(new)
-        out = []
-        for c in cut:
-            at = np.fromiter(map(known.__getitem__, c), np.int64, len(c))
-            begin = self.starts[at]
-            n = self.starts[at + 1] - begin
-            total = np.cumsum(n)
-            out.append(self.flat[np.arange(total[-1] if len(total) else 0) - np.repeat(total - n - begin, n)])
-        return out
+        at = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+        begin = self.starts[at]
+        n = self.starts[at + 1] - begin
+        total = np.append(0, np.cumsum(n))
+        ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin, n)]
+        return np.split(ids, total[np.cumsum([len(c) for c in cut])[:-1]]) if cut else []
 
     def decode(self, ids: np.ndarray) -> str:
         joined = b"".join([self.out[i] for i in ids])
