@@ -570,3 +570,54 @@ def test_line_dedup_counts_documents(spark):
     c = duckdb.connect()
     c.register("documents", df.select("doc_id", "text").toArrow())
     assert sorted(c.execute(line_dedup.SQL).fetchall(), key=str) == sorted([(g.doc_id, g.n_lines, g.n_dropped, hashlib.sha256(g.text.encode()).hexdigest()) for g in got], key=str)
+
+
+def test_pii_recall_in_documents(spark, sf):
+    """Made-up personal data within documents that have none: forms the patterns miss are found, nothing else is."""
+    r = random.Random(99)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def luhn(start, k):
+        body = start + digits(k - 1 - len(start))
+        total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(body))))
+        return body + str(-total % 10)
+
+    def groups(s, sep, *sizes):
+        return sep.join(s[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
+
+    octets = lambda: [str(r.randint(1, 254)) for _ in range(4)]
+    forms = {
+        "email": [lambda: "anna.berg[at]example.org", lambda: "jo (at) mail-host (dot) net", lambda: "garcia at correo dot com"],
+        "ip": [lambda: "[.]".join(octets()), lambda: "(.)".join(octets())],
+        "card": [lambda: groups(luhn("4", 16), ".", 4, 4, 4, 4), lambda: groups(luhn("37", 15), " ", 4, 6, 5)],
+        "phone": [lambda: f"({r.randint(201, 989)}) {r.randint(200, 999)}-{digits(4)}", lambda: f"{r.randint(201, 989)}-{r.randint(200, 999)}-{digits(4)}"],
+        None: [lambda: "2021-03-04", lambda: f"978-3-16-{digits(6)}-0", lambda: "1,234,567.89", lambda: digits(8), lambda: "look at noon. Then"],
+    }
+    plain = [x.text for x in spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").collect() if x.text and " " in x.text and len(x.text) < 3000 and not re.search("[0-9@]", x.text)]
+    rows, planted = [(i, t) for i, t in enumerate(plain[:200])], {}
+    for kind, makers in forms.items():
+        for make in makers * 12:
+            words, span = r.choice(plain).split(" "), make()
+            at = r.randrange(1, len(words))
+            left = " ".join(words[:at]) + " "
+            planted[len(rows)] = kind, len(left), len(left) + len(span)
+            rows.append((len(rows), left + span + r.choice([" ", ", ", ". "]) + " ".join(words[at:])))
+    found, wrong, wanted = Counter(), 0, Counter(k for k, *_ in planted.values())
+    for g in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        kind, *place = planted.get(g.doc_id, (None, 0, 0))
+        for s in g.added:
+            if kind and (s.kind, s.start, s.end) == (kind, *place):
+                found[kind] += 1
+            else:
+                wrong += 1
+    assert wrong <= 0.02 * len(planted) and all(found[k] >= 0.9 * n for k, n in wanted.items() if k)
+
+
+def test_pii_places_of_many_matches(spark):
+    """More matches than are summed together: each place is right."""
+    text = " ".join(f"é{i}@x.de" if i % 2 else f"10.0.{i % 256}.1" for i in range(1200))
+    g = pii.with_base(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = {"ip": [m.span() for m in re.finditer(r"10\.0\.[0-9]+\.1", text)]}
+    want["email"] = [m.span(1) for m in re.finditer(r"é([0-9]+@x\.de)", text)]
+    for kind, spans in want.items():
+        assert [(s.start, s.end) for s in g["base_" + kind]] == spans and len(spans) > pii.CHUNK
