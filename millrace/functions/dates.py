@@ -425,6 +425,19 @@ def time_argument(text: Column, now: dt.datetime) -> Column:
     return F.when(F.trim(text) == "", F.lit(now)).when(year, F.make_timestamp(text.try_cast("int"), F.month(F.lit(now)), F.dayofmonth(F.lit(now)), F.lit(0), F.lit(0), F.lit(0))).otherwise(free_text(text, now))
 
 
+def os_date(time: Column, pattern: str = "%c") -> Column:
+    """A script's date: a C pattern, in UTC with or without '!', or with '*t' a struct of the parts."""
+    pattern = pattern.removeprefix("!")
+    if pattern != "*t":
+        return strftime(time, pattern)
+    return F.struct(F.year(time).alias("year"), F.month(time).alias("month"), F.dayofmonth(time).alias("day"), F.hour(time).alias("hour"), F.minute(time).alias("min"), F.floor(F.second(time)).cast("int").alias("sec"), F.dayofweek(time).alias("wday"), F.dayofyear(time).alias("yday"), F.lit(False).alias("isdst"))
+
+
+def os_time(year: Column, month: Column, day: Column, hour: Column | None = None, minute: Column | None = None, second: Column | None = None) -> Column:
+    """Epoch seconds of parts that may overflow; noon if no hour is given."""
+    return F.unix_seconds(make(year, month, day, F.lit(12) if hour is None else hour, F.lit(0) if minute is None else minute, F.lit(0) if second is None else second))
+
+
 # --- zones and auto formats ------------------------------------------------------------------------
 
 

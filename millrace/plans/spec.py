@@ -226,6 +226,13 @@ class Spec:
             return df, default if out is None else out.otherwise(default)
         if not isinstance(v, Mapping):
             return df, F.lit(v)
+        if set(v) in ({*"rgb"}, {*"hsl"}, {*"lab"}, {*"hcl"}):
+            from millrace.functions import colors
+
+            parts = {}
+            for k, x in v.items():
+                df, parts[k] = self._property(df, x)
+            return df, colors.of(parts)
         if "template" in v:
             from millrace.functions.templates import template
 

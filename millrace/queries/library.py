@@ -86,6 +86,18 @@ def date_zones(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", dates.is_dst(d, zone).alias("summer"), dates.offset_seconds(d, zone).cast("long").alias("seconds"), dates.in_zone(d, zone).cast("timestamp_ntz").alias("local"), dates.truncated(d, "day").cast("timestamp_ntz").alias("day"))
 
 
+@query("""
+SELECT o_orderkey, year(d)::BIGINT AS year, dayofweek(d)::BIGINT + 1 AS wday, dayofyear(d)::BIGINT AS yday, strftime(d, '%d/%m/%y %H:%M') AS text, epoch(CAST(date_trunc('month', d) AS TIMESTAMP) + INTERVAL 12 HOUR + to_days(CAST(o_orderkey % 90 - 1 AS INTEGER)))::BIGINT AS seconds
+FROM (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS d FROM orders)
+""")
+def script_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The dates of scripts: parts, patterns, and seconds of parts that overflow."""
+    d = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    parts = dates.os_date(d, "*t")
+    seconds = dates.os_time(F.year(d), F.month(d), F.col("o_orderkey") % 90)
+    return table(spark, sf, "orders").select("o_orderkey", *[parts[k].cast("long").alias(k) for k in ("year", "wday", "yday")], dates.os_date(d, "!%d/%m/%y %H:%M").alias("text"), seconds.cast("long").alias("seconds"))
+
+
 @query("""
 SELECT p_partkey, '<' || p_name || '> & ééA &nope;' AS decoded, '&lt;' || replace(p_name, ' ', '&amp;') || '&gt;' AS encoded,
   replace(replace(replace(replace(replace(p_name, 'blue', chr(1)), 'red', chr(2)), 'e', '3'), chr(1), 'red'), chr(2), 'blue') AS swapped, p_name || ' costs ' || p_size || ' or $3' AS message,
@@ -228,7 +240,7 @@ def ticks_log_time(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT n_regionkey, n_nationkey, n_name, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING) AS e FROM nation), m AS (SELECT max(e) AS most FROM s),
 o AS (SELECT DISTINCT n_regionkey, dense_rank() OVER (ORDER BY n_regionkey) - 1 AS place FROM nation)
-SELECT n_name, round(place * 500.0 / (SELECT count(DISTINCT n_regionkey) FROM nation), 6) AS x, round(200 - (e - n_nationkey) * 200.0 / most, 6) AS y, round(n_nationkey * 200.0 / most, 6) AS height, CASE WHEN n_nationkey > 12 THEN 'high' ELSE 'low' END AS label, n_name || '!' AS text
+SELECT n_name, round(place * 500.0 / (SELECT count(DISTINCT n_regionkey) FROM nation), 6) AS x, round(200 - (e - n_nationkey) * 200.0 / most, 6) AS y, round(n_nationkey * 200.0 / most, 6) AS height, CASE WHEN n_nationkey > 12 THEN 'high' ELSE 'low' END AS label, n_name || '!' AS text, '#' || printf('%02x', n_nationkey * 10) || '00ff' AS fill
 FROM s JOIN o USING (n_regionkey), m
 """)
 def mark_positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,9 +253,9 @@ def mark_positions(spark: SparkSession, sf: str) -> DataFrame:
     }, spark, tables={"nations": table(spark, sf, "nation")})
     mark = {"from": {"data": "nations", "transform": [{"type": "stack", "groupby": ["n_regionkey"], "sortby": ["n_nationkey"], "field": "n_nationkey"}]}, "properties": {"enter": {
         "n_name": {"field": "n_name"}, "x": {"scale": "x", "field": "n_regionkey"}, "y": {"scale": "y", "field": "layout_start"}, "y2": {"scale": "y", "field": "layout_end"},
-        "label": [{"predicate": "high", "input": {"k": "n_nationkey"}, "value": "high"}, {"value": "low"}], "text": {"template": "{{datum.n_name}}!"},
+        "fill": {"r": {"field": "n_nationkey", "mult": 10}, "g": {"value": 0}, "b": {"value": 255}}, "label": [{"predicate": "high", "input": {"k": "n_nationkey"}, "value": "high"}, {"value": "low"}], "text": {"template": "{{datum.n_name}}!"},
     }}}
-    return _rounded(spec.mark(mark).select("n_name", "x", "y", "height", "label", "text"), 6, "x", "y", "height")
+    return _rounded(spec.mark(mark).select("n_name", "x", "y", "height", "label", "text", "fill"), 6, "x", "y", "height")
 
 
 @query("""
