@@ -29,6 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> dict[str, tuple[Query, str | None]]:
     """All queries; the modules register them when they are imported."""
-    from millrace.queries import extract, io, layouts, library, maps, relational, scalars, scaling, sinks, store, streams  # noqa: F401
+    from millrace.queries import extract, io, joins, layouts, library, maps, relational, scalars, scaling, sinks, store, streams  # noqa: F401
 
     return REGISTRY
