@@ -263,28 +263,27 @@ def fold(df: DataFrame, fields: list[str], output: dict[str, str] | None = None)
 def impute(df: DataFrame, field: str, keys: list[str], groupby: list[str] | None = None, method: str = "value", value: float | None = 0.0) -> DataFrame:
     """A row for each group and key value; what is missing gets ``value`` or the group's mean, median, min or max.
 
-    The combinations are the result itself; the distinct keys are broadcast only if counted few."""
+    A null group or key is one of its own. The combinations are the result itself; the distinct keys are broadcast only
+    if counted few."""
     groups = groupby or []
+    by = [*groups, *keys]
+    x = F.col(field).cast("double")
     grid = df.select(*keys).distinct()
     if groups:
-        grid = df.select(*groups).distinct().crossJoin(small(grid))
-    out = grid.join(df.select(*groups, *keys, field), [*groups, *keys], "left")
-    if method == "value":
-        fill = F.lit(value)
+        held = df.groupBy(*groups)
+        fills = held.agg(F.lit(value).cast("double").alias("__fill")) if method == "value" else held.agg(_FILLS[method](x).alias("__fill"))
+        grid = fills.crossJoin(small(grid))
     else:
-        x = F.col(field).cast("double")
-        fills = df.groupBy(*groups).agg({"mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "min": F.min(x), "max": F.max(x)}[method].alias("__fill"))
-        fills = fills.withColumnsRenamed({g: f"__g_{i}" for i, g in enumerate(groups)})
-        if groups:
-            same = F.lit(True)
-            for i, g in enumerate(groups):
-                same = same & F.col(g).eqNullSafe(F.col(f"__g_{i}"))
-            out = out.join(fills, same)
-        else:
-            out = out.crossJoin(F.broadcast(fills))  # one row
-        names = [c for c in out.columns if c.startswith("__g_") or c == "__fill"]
-        return out.withColumn(field, F.coalesce(F.col(field).cast("double"), F.col("__fill"))).drop(*names)
-    return out.withColumn(field, F.coalesce(F.col(field).cast("double"), fill))
+        fills = df.agg(F.lit(value).cast("double").alias("__fill") if method == "value" else _FILLS[method](x).alias("__fill"))
+        grid = grid.crossJoin(F.broadcast(fills))  # one row
+    there = df.select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(by)], F.col(field).alias("__value"), F.lit(True).alias("__there"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__h{i}"))
+    return grid.join(there, same, "left").select(*by, F.coalesce(F.col("__value").cast("double"), "__fill").alias(field))
+
+
+_FILLS = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5)), "min": F.min, "max": F.max}
 
 
 def treeify(df: DataFrame, groupby: list[str], output: str = "values") -> DataFrame:

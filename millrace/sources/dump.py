@@ -1,20 +1,24 @@
 """The wiki-dump store: the title index, the multistream article source and the site's namespaces.
 
-``register`` adds the data source ``multistream``: a task reads one range of stream offsets of the
-bz2 file and yields its pages as rows. Files are opened through Hadoop's file system on the driver
-for the header and by path in tasks, so dumps belong on storage that tasks can open."""
+A task reads a range of stream offsets of the bz2 file and yields their pages as rows; ``register`` adds the
+data source ``multistream`` for a few given offsets. The one file of a dump is opened by path, in tasks and, for
+its header, on the driver, so dumps belong on storage that is mounted on all machines."""
 
 from __future__ import annotations
 
 import bz2
+import os
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace.scratch import written
+
 INDEX = r"^(\d+):(\d+):(.*)$"
 ARTICLE = "id long, title string, model string, body string, redirect string, offset long"
 HEADER = 128 << 10
@@ -106,24 +110,11 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
-        self.offsets = sorted({int(x) for x in options["offsets"].split(",")}) if options.get("offsets") else None
+        self.offsets = sorted({int(x) for x in options["offsets"].split(",")}) if options.get("offsets") else []
         self.per_task = int(options.get("streamspertask", "16"))
-        self.index = options.get("index")
 
     def partitions(self) -> list[InputPartition]:
-        offsets = self.offsets
-        if offsets is None:
-            found = set()
-            opener = bz2.open if self.index.endswith(".bz2") else open
-            with opener(self.index, "rt", encoding="utf-8") as f:
-                for line in f:
-                    if line.strip():
-                        m = re.match(INDEX, line.rstrip("\n"))
-                        if not m:
-                            raise ValueError(f"bad index line: {line!r}")
-                        found.add(int(m[1]))
-            offsets = sorted(found)
-        return [_Range(offsets[i : i + self.per_task]) for i in range(0, len(offsets), self.per_task)]
+        return [_Range(self.offsets[i : i + self.per_task]) for i in range(0, len(self.offsets), self.per_task)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         for offset in partition.offsets:
@@ -132,7 +123,7 @@ class _Reader(DataSourceReader):
 
 
 class MultistreamSource(DataSource):
-    """Options: path, index (a path) or offsets (comma-separated), streamsPerTask."""
+    """The streams at a few offsets. Options: path, offsets (comma-separated), streamsPerTask."""
 
     @classmethod
     def name(cls) -> str:
@@ -152,13 +143,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MultistreamSource)
 
 
-def articles(spark: SparkSession, path: str, index: str, offsets: list[int] | None = None) -> DataFrame:
-    """The dump's articles; given offsets, only these streams are read."""
-    register(spark)
-    reader = spark.read.format("multistream").option("path", path).option("index", index)
+def articles(spark: SparkSession, path: str, index: str, offsets: list[int] | None = None, per_task: int = 16) -> DataFrame:
+    """The dump's articles; given a few offsets, only these streams are read.
+
+    All offsets come from the index, which Spark reads and deals to tasks in ranges of neighbours, about ``per_task``
+    streams each; the driver sees none of them."""
     if offsets is not None:
-        reader = reader.option("offsets", ",".join(map(str, offsets)))
-    return reader.load()
+        register(spark)
+        return spark.read.format("multistream").option("path", path).option("offsets", ",".join(map(str, offsets))).option("streamsPerTask", per_task).load()
+    header(path)
+    found = title_index(spark, index if "://" in index or not os.path.isabs(index) else f"file://{index}").select("offset").distinct()
+    found = written(found, "offsets")
+    dealt = found.repartitionByRange(max(1, -(-found.count() // per_task)), "offset").sortWithinPartitions("offset")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for offset in b["offset"]:
+                rows = [(*page, offset) for page in pages(stream(path, int(offset)))]
+                yield pd.DataFrame(rows, columns=["id", "title", "model", "body", "redirect", "offset"])
+
+    return dealt.mapInPandas(read, ARTICLE)
 
 
 def get_articles(spark: SparkSession, path: str, index: str, titles: list[str]) -> DataFrame:

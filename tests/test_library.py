@@ -64,9 +64,9 @@ def test_running_sums_with_other_columns(spark, adaptive):
 
 
 def test_impute_by_means(spark):
-    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), (None, 1, 5.0)], "g string, k int, v double")
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), (None, 1, 5.0)], "g string, k int, v double")  # a null group is a group
     got = {(r.g, r.k): r.v for r in t.impute(df, "v", ["k"], ["g"], "mean").collect()}
-    assert got[("a", 1)] == 2.0 and got[("a", 2)] == 4.0 and got[(None, 2)] == 5.0
+    assert got == {("a", 1): 2.0, ("a", 2): 4.0, (None, 1): 5.0, (None, 2): 5.0}
     assert [r.v for r in t.impute(df.drop("g"), "v", ["k"], method="max").collect()].count(None) == 0
 
 
@@ -211,3 +211,40 @@ def test_hierarchy_has_no_last_level(spark):
     ring = spark.createDataFrame([("a", "b", 0.0), ("b", "a", 0.0), ("leaf", "a", 1.0)], "id string, parent string, v double")
     with pytest.raises(ValueError, match="cycle"):
         t.hierarchy(ring, "id", "parent", "v")
+
+
+def test_joins_by_order(spark):
+    """The last earlier row by key against a plain search: ties, nulls, columns of the same name, gaps of many bins."""
+    import random
+
+    from millrace.operators import joins
+
+    r = random.Random(8)
+    make = lambda n: [(i, r.choice(["a", "b", None]), r.choice([None, float(r.randrange(0, 5000)), r.random() * 100]), r.randrange(50)) for i in range(n)]
+    left, right = make(200), make(150)
+    schema = "i int, k string, at double, v int"
+    got = joins.asof(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnsRenamed({"v": "w"}), "at", ["k"], ["w", "i"], width=100.0)
+    rows = [tuple(x) for x in got.collect()]
+    want = []
+    for i, k, at, v in left:
+        best = max(((b, w, j) for j, q, b, w in right if q == k and b is not None and at is not None and b <= at), default=(None, None, None))
+        want.append((i, k, at, v, best[1], best[2]))
+    assert sorted(rows, key=str) == sorted(want, key=str)
+
+
+def test_sinks(spark):
+    """Markup that isn't closed, empty and null pages; marks without places."""
+    from millrace.functions import colors
+    from millrace.sinks import html, svg
+
+    cases = {"": "", "'''bold": "<p><b>bold</b></p>", "#a\n##b\n*c": "<ol><li>a<ol><li>b</li></ol></li></ol><ul><li>c</li></ul>", "{|\n|a": "<table><tr><td>a</td></tr></table>", "a<b & \"c\"": '<p>a&lt;b &amp; "c"</p>', ";t\n:d": "<dl><dt>t</dt><dd>d</dd></dl>"}
+    for text, want in cases.items():
+        assert html.page(text) == want
+    pages = spark.createDataFrame([(1, None), (2, "x")], "page_id long, text string")
+    assert {r.page_id: r.html for r in html.render(pages).collect()} == {1: None, 2: "<p>x</p>"}
+    marks = spark.createDataFrame([(1.5, None), (None, 2.0)], "x double, y double")
+    assert [r.svg for r in svg.elements(marks, "symbol").collect()] == ['<circle cx="1.5" cy="0" r="5.642" />', '<circle cx="0" cy="2" r="5.642" />']
+    with pytest.raises(ValueError):
+        svg.elements(marks, "cube")
+    one = spark.range(1).select(colors.hsl(120.0, 1.0, 0.5).alias("a"), colors.lab(100.0, 0.0, 0.0).alias("b"), colors.hcl(None, None, None).alias("c"), colors.rgb(300.0, -5.0, None).alias("d")).first()
+    assert tuple(one) == ("#00ff00", "#ffffff", "#777777", "#ff0080")
