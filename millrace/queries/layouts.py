@@ -73,26 +73,18 @@ def hierarchy_partition(spark: SparkSession, sf: str) -> DataFrame:
     return t.hierarchy(nodes, "id", "parent", "v").select("id", "depth", "value")
 
 
-TIMELINE = """
-DateFormat = yyyy
-Period = from:1900 till:2000
-Define $c = color:red
-BarData =
-  bar:A
-  bar:B
-PlotData =
-  width:10
-  bar:A $c
-  from:1900 till:1950
-  from:1950 till:2000
-  bar:B from:1925 till:1975 color:blue
-"""
-
-
-@query("SELECT * FROM (VALUES ('A', 0::INTEGER, 0.0::DOUBLE, 0.5::DOUBLE, 'red'), ('A', 0, 0.5, 1.0, 'red'), ('B', 1, 0.25, 0.75, 'blue')) t(bar, bar_index, start, \"end\", color)")
+@query("""
+SELECT replace(r_name, ' ', '_') AS bar, (dense_rank() OVER (ORDER BY n_regionkey) - 1)::INTEGER AS bar_index, round(n_nationkey / 100.0, 9) AS start, round((n_nationkey + 10 + n_regionkey) / 100.0, 9) AS "end", CASE WHEN n_nationkey % 2 = 0 THEN 'red' ELSE 'blue' END AS color
+FROM nation JOIN region ON n_regionkey = r_regionkey
+""")
 def timeline_segments(spark: SparkSession, sf: str) -> DataFrame:
-    out = timeline.segments(spark, timeline.parse(TIMELINE))
-    return out.select("bar", "bar_index", F.col("start").alias("start"), F.col("end").alias("end"), "color")
+    """A timeline written from the tables: a bar a region, and on it a segment a nation."""
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("r_name", F.replace("r_name", F.lit(" "), F.lit("_"))).orderBy("n_regionkey", "n_nationkey").collect()
+    bars = "".join(f"  bar:{name}\n" for name in dict.fromkeys(r.r_name for r in rows))
+    plot = "".join(f"  bar:{r.r_name} from:{1900 + r.n_nationkey} till:{1910 + r.n_nationkey + r.n_regionkey} {'$even' if r.n_nationkey % 2 == 0 else 'color:blue'}\n" for r in rows)
+    text = f"DateFormat = yyyy\nPeriod = from:1900 till:2000\nDefine $even = color:red\nBarData =\n{bars}PlotData =\n  width:10\n{plot}"
+    out = timeline.segments(spark, timeline.parse(text))
+    return out.select("bar", "bar_index", F.round("start", 9).alias("start"), F.round("end", 9).alias("end"), "color")
 
 
 @query()
