@@ -13,6 +13,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import scratch
+
 #: Characters that count as white space in every contract of this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 _SCRATCH: list[tuple[SparkSession, str]] = []
@@ -24,18 +26,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (local tests) is a temporary folder made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
-        if not base:
-            base = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return base.rstrip("/")
-
-
-_LOCAL: dict[str, str] = {}
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; only local sessions go without."""
+    return scratch.folder(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
