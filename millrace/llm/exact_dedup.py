@@ -122,7 +122,7 @@ def index_entries(docs: DataFrame, id_at: int, text_at: int) -> DataFrame:
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in ENTRY)).fields)
     arrow = to_arrow_schema(schema)
     read = docs.select("*", F.length(F.coalesce(F.col(f"c{text_at}"), F.lit(""))).cast("long").alias("length"))
-    return common.written(read.mapInArrow(_windows(arrow, text_at, id_at, payload, payload), schema), "entries")
+    return common.written(read.mapInArrow(common.tidied(_windows(arrow, text_at, id_at, payload, payload)), schema), "entries")
 
 
 class Directory:
@@ -243,7 +243,7 @@ def _owned(docs: DataFrame, id_at: int, text_at: int, rows: bool) -> tuple[DataF
     routed = routed.withColumn("cell", _prefix(found.depth)).join(cells, "cell")
     routed = routed.repartitionById(owners, F.col("owner").cast("int")).sortWithinPartitions("bucket", "h")
     out = docs.schema if rows else T._parse_datatype_string(ASSIGNED)
-    return entries, routed.mapInArrow(_owner(to_arrow_schema(out), routed.columns, text_at, id_at, rows), out)
+    return entries, routed.mapInArrow(common.tidied(_owner(to_arrow_schema(out), routed.columns, text_at, id_at, rows)), out)
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

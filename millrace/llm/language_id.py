@@ -188,7 +188,7 @@ def train(labelled: DataFrame, per_label: int = PER_LABEL) -> Network | None:
     u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(17)), 11) / F.lit(float(1 << 53))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_label / n)]), F.col("lang"))
     sample = labelled.filter("lang is not null and text is not null").filter(u < share).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    rows = sample.mapInArrow(_sampled, "doc_id long, lang string, x binary").orderBy(F.xxhash64("doc_id", "lang", "x"), "doc_id", "lang", "x").limit(2 * WINDOWS * per_label * len(sizes)).toArrow().to_pylist()  # the same rows each time, should the bound bind
+    rows = sample.mapInArrow(common.tidied(_sampled), "doc_id long, lang string, x binary").orderBy(F.xxhash64("doc_id", "lang", "x"), "doc_id", "lang", "x").limit(2 * WINDOWS * per_label * len(sizes)).toArrow().to_pylist()  # the same rows each time, should the bound bind
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] or 0, r["x"]))
     labels = sorted({r["lang"] for r in rows})
     if not labels:
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, net: Network | None, held_out: Column) -> DataFram
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     common.ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(net.tables())), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(common.tidied(_predict(spark.sparkContext.broadcast(net.tables()))), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

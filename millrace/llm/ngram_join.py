@@ -148,7 +148,7 @@ def hot_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.ndarray
     families of near copies, prefixes reach beyond; so the second counts such texts whole."""
 
     def counts(first=None) -> DataFrame:
-        got = texts.mapInArrow(_counting(width, percent, first), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        got = texts.mapInArrow(common.tidied(_counting(width, percent, first)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         return common.written(got.filter(F.col("n") >= HOT_LEAST), "hot")
 
     spark = texts.sparkSession
@@ -455,7 +455,7 @@ class Join:
         hot = hot_shingles(docs.select("text"), width, percent)
         self.hot = self.spark.sparkContext.broadcast(hot)
         common.free_shuffles(self.spark)
-        self.rows = common.written(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_prepare(self.hot, width, percent), SETS), "shingles")
+        self.rows = common.written(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(common.tidied(_prepare(self.hot, width, percent)), SETS), "shingles")
         #: A row a node: its smallest doc_id.
         self.nodes = common.written(self.rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "nodes")
         self.sets: DataFrame | None = None
@@ -473,7 +473,7 @@ class Join:
         named = self.docs.join(self.small(ids.filter("doc_id is not null")), "doc_id", "left_semi").select("text")
         if ids.filter("doc_id is null").limit(1).count():
             named = named.union(self.docs.filter("doc_id is null").select("text"))
-        got = named.mapInArrow(_full(self.width), "node long, tokens binary").join(self.small(want), "node", "left_semi")
+        got = named.mapInArrow(common.tidied(_full(self.width)), "node long, tokens binary").join(self.small(want), "node", "left_semi")
         got = common.written(got, "sets")
         common.free_shuffles(self.spark)
         self.sets = got if self.sets is None else self.sets.union(got)
@@ -484,7 +484,7 @@ class Join:
         common.free_shuffles(self.spark)
         self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         with common.batches_of(self.spark, 256):
-            return common.written(self.with_sets(pairs).mapInArrow(_verify, "a long, b long, common long, total long"), name)
+            return common.written(self.with_sets(pairs).mapInArrow(common.tidied(_verify), "a long, b long, common long, total long"), name)
 
     def with_sets(self, pairs: DataFrame) -> DataFrame:
         x = self.sets.withColumnsRenamed({"node": "a", "tokens": "x"})
@@ -496,7 +496,7 @@ class Join:
         bits = self.rows.filter("bits is not null").select("node", "n", "bits")
         x, y = bits.withColumnsRenamed({"node": "a", "n": "na", "bits": "x"}), bits.withColumnsRenamed({"node": "b", "n": "nb", "bits": "y"})
         with common.batches_of(self.spark, 2048):
-            kept = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(_bounded(self.percent), "a long, b long")
+            kept = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(common.tidied(_bounded(self.percent)), "a long, b long")
             return common.written(kept.distinct(), name)
 
     def similar(self):
@@ -525,7 +525,7 @@ class Join:
         pairs = common.written(self.pivots(), "pivots")
         self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         with common.batches_of(self.spark, 256):
-            return common.written(self.with_sets(pairs).mapInArrow(_differ(self.percent), "pivot long, node long, size long, n long, linked boolean, parts binary"), "families")
+            return common.written(self.with_sets(pairs).mapInArrow(common.tidied(_differ(self.percent)), "pivot long, node long, size long, n long, linked boolean, parts binary"), "families")
 
     def inside(self, families: DataFrame) -> DataFrame:
         """Links between nodes of one family."""
@@ -540,7 +540,7 @@ class Join:
         rows = rows.select("pivot", cell.alias("cell"), side.alias("side"), "node", "size", "n", "linked", "parts")
         met = rows.repartition(common.partitions(self.spark), "pivot", "cell").sortWithinPartitions("pivot", "cell")
         with common.batches_of(self.spark, 2048):
-            return common.written(met.mapInArrow(_within(self.percent), "a long, b long"), "inside")
+            return common.written(met.mapInArrow(common.tidied(_within(self.percent)), "a long, b long"), "inside")
 
     def crowded(self, posts: DataFrame) -> DataFrame:
         """(token, top, chunks, blocks) of shingles with over ``BLOCK`` postings: the pivot with most of them, those
@@ -572,7 +572,7 @@ class Join:
         posts = posts.select("token", F.explode(cells).alias("code"), "node", "pivot", "meta")
         posts = posts.select("token", F.shiftright("code", 2).alias("cell"), "node", "pivot", (F.col("meta") + F.shiftleft(F.col("code").bitwiseAND(F.lit(3).cast("long")), 32)).alias("meta"))
         dealt = posts.repartition(common.partitions(self.spark), "token", "cell").sortWithinPartitions("token", "cell")
-        met = dealt.mapInArrow(_meet(self.percent), "a long, b long, need int")
+        met = dealt.mapInArrow(common.tidied(_meet(self.percent)), "a long, b long, need int")
         return common.written(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b"), "across")
 
     def components(self) -> DataFrame:

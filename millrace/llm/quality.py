@@ -202,7 +202,7 @@ def fit(counts: dict[int, int], steps: int = 500) -> dict[int, float]:
 def model(texts: DataFrame) -> dict[int, float]:
     """The posterior of each pattern of votes in a table of one column of texts."""
     common.ship(texts.sparkSession)
-    rows = texts.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(common.tidied(_patterns), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return fit({r.pattern: r.n for r in rows})
 
 
@@ -211,7 +211,7 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     spark = docs.sparkSession
     common.ship(spark)
     kind = docs.schema[id_column].dataType.simpleString()
-    found = common.written(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(_features, f"doc_id {kind}, {FEATURES}, pattern long"), "quality")
+    found = common.written(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(common.tidied(_features), f"doc_id {kind}, {FEATURES}, pattern long"), "quality")
     rows = found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     good = fit({r.pattern: r.n for r in rows})
     table = F.broadcast(spark.createDataFrame(list(good.items()), "pattern long, good double"))  # 3 ** RULES rows at most
@@ -233,7 +233,7 @@ def _keep(posterior: dict[int, float], at: int):
 def good_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, all columns; no shuffle but of pattern counts."""
     posterior = model(docs.select(text_column))
-    return docs.mapInArrow(_keep(posterior, docs.columns.index(text_column)), docs.schema)
+    return docs.mapInArrow(common.tidied(_keep(posterior, docs.columns.index(text_column))), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ MARK = "▁"
 LONG = 200
 #: Characters of new parts that are matched at a time, and parts remembered by a task's process.
 CHUNK = 400_000
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 _models: dict[str, Pieces] = {}
 
@@ -331,7 +331,7 @@ class Pieces:
         return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
 
 
-def _steps(column: pa.Array, size: int = 4 << 20) -> Iterator[list[str]]:
+def _steps(column: pa.Array, size: int = 2 << 20) -> Iterator[list[str]]:
     some: list[str] = []
     n = 0
     for t in column:
@@ -363,7 +363,7 @@ def encoded(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_co
     """doc_id and ids (array<int>) of each row; no shuffle."""
     common.ship(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(_encoder(model_path), f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(common.tidied(_encoder(model_path)), f"doc_id {kind}, ids array<int>")
 
 
 def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
@@ -375,7 +375,7 @@ def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces.decode(i.values.to_numpy()) if i.is_valid else "" for i in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(common.tidied(run), f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def _digests(path: str):
@@ -397,7 +397,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as 32-bit little-endian numbers) and round_trip of each row."""
     common.ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_digests(model_path), f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(common.tidied(_digests(model_path)), f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ class CharacterModel:
 
 def corpus_model(texts: DataFrame) -> CharacterModel:
     common.ship(texts.sparkSession)
-    rows = texts.mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(common.tidied(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(SYMBOLS**3)
     for r in rows:
         counts[r.code] = r.n
@@ -338,16 +338,16 @@ def train(docs: DataFrame, labels: DataFrame, model) -> Classifier:
     shares = n.get(0, 0) / total, n.get(1, 0) / total
     least = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(PER_CLASS) for c in (0, 1)]
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(least[0].union(least[1])), "doc_id").select("toxic", "text")
-    sets = common.written(sample.mapInArrow(_word_sets(model), "toxic int, words binary").distinct(), "word-sets")  # copies of a text count once
+    sets = common.written(sample.mapInArrow(common.tidied(_word_sets(model)), "toxic int, words binary").distinct(), "word-sets")  # copies of a text count once
     sizes = {r.toxic: r.n for r in sets.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return constant(shares[1])
     lift = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
-    counts = sets.mapInArrow(_by_word, "word long, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = sets.mapInArrow(common.tidied(_by_word), "word long, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     telling = counts.filter((F.col("a") >= max(2, 0.01 * sizes[1])) & (lift > math.log(3)))
     chosen = telling.orderBy((-F.col("a") * lift).asc(), "word").limit(MOST_FEATURES).select("word").toArrow()  # how much a word tells, by how often it is met
     words = np.sort(chosen.column(0).to_numpy().view(np.uint64))
-    rows = sets.mapInArrow(_having(words), "toxic int, has array<long>").toArrow().to_pylist()
+    rows = sets.mapInArrow(common.tidied(_having(words)), "toxic int, has array<long>").toArrow().to_pylist()
     return fit(words, sorted((r["toxic"], r["has"]) for r in rows), shares)
 
 
@@ -371,7 +371,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     classifier = spark.sparkContext.broadcast(train(docs, labels, model))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_score(model, classifier), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(common.tidied(_score(model, classifier)), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
