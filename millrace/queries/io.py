@@ -77,7 +77,7 @@ def _topology(spark: SparkSession, sf: str) -> dict:
 
 
 @query("""
-SELECT n_nationkey::VARCHAR AS id, 'Polygon' AS type, n_regionkey::BIGINT AS region, 5::BIGINT AS points, 10.0 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS x, 20.0 + 2 * n_regionkey AS y, 1.0 AS area FROM nation
+SELECT n_nationkey::VARCHAR AS id, 'Polygon' AS type, n_regionkey::BIGINT AS region, 5::BIGINT AS points, (9 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::DOUBLE AS x, (20 + 2 * n_regionkey)::DOUBLE AS y, 1::DOUBLE AS area FROM nation
 """)
 def topology_features(spark: SparkSession, sf: str) -> DataFrame:
     """Shapes put together from arcs, one of them backwards: their first corner and area."""

@@ -102,7 +102,7 @@ def script_dates(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey, '<' || p_name || '> & ééA &nope;' AS decoded, '&lt;' || replace(p_name, ' ', '&amp;') || '&gt;' AS encoded,
   replace(replace(replace(replace(replace(p_name, 'blue', chr(1)), 'red', chr(2)), 'e', '3'), chr(1), 'red'), chr(2), 'blue') AS swapped, p_name || ' costs ' || p_size || ' or $3' AS message,
   CASE WHEN length(p_name) <= 6 THEN p_name ELSE substr(p_name, 1, 6) || '…' END AS cut, replace(p_name, ' ', ' and ') || ', é' AS listed, format('{:,}', p_partkey * 1234567) || '.5' AS grouped, CAST(p_partkey * 1234567 AS VARCHAR) || '.5' AS ungrouped,
-  printf('%.14g', p_retailprice / 7) AS shown, p_size + 0.5 AS float, p_size::BIGINT AS int, 0.0::DOUBLE AS none, CASE WHEN p_size = 1 THEN 'one' ELSE 'many' END AS noun, p_size = 7 AS same
+  printf('%.14g', p_retailprice / 7) AS shown, (p_size + 0.5)::DOUBLE AS float, p_size::BIGINT AS int, 0.0::DOUBLE AS none, CASE WHEN p_size = 1 THEN 'one' ELSE 'many' END AS noun, p_size = 7 AS same
 FROM part
 """)
 def text_library(spark: SparkSession, sf: str) -> DataFrame:
