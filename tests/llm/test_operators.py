@@ -621,3 +621,83 @@ def test_pii_places_of_many_matches(spark):
     want["email"] = [m.span(1) for m in re.finditer(r"é([0-9]+@x\.de)", text)]
     for kind, spans in want.items():
         assert [(s.start, s.end) for s in g["base_" + kind]] == spans and len(spans) > pii.CHUNK
+
+
+def test_language_id_against_plain_convolution(spark, odd):
+    """Table lookups give what convolving embeddings, pooling and a softmax written out give."""
+    import numpy as np
+
+    net = language_id.Network(["aa", "bb", "cc"], seed=7)
+    net.bias += np.linspace(-0.2, 0.2, len(net.bias), dtype=np.float32)
+    r = random.Random(3)
+    texts = [x.text for x in odd.collect()] + ["".join(r.choice("abc é ñ1.\n") for _ in range(r.choice([1, 3, 255, 256, 257, 1000]))) for _ in range(30)]
+
+    def plain(text):
+        data = (text or "").encode()
+        if not re.search(r"[^\W\d_]", text or ""):
+            return "und", 0.0
+        total = np.zeros(3)
+        for i in range(0, len(data), language_id.LENGTH):
+            classes = [int(language_id.CLASS[b]) for b in data[i : i + language_id.LENGTH]]
+            letters = sum(bool(language_id.LETTER[c]) for c in classes)
+            classes += [language_id.PAD] * (language_id.LENGTH - len(classes))
+            pooled = []
+            for w, f in zip(language_id.WIDTHS, net.filters, strict=True):
+                pooled.append(np.max([np.concatenate(net.embedding[classes[k : k + w]]) @ f for k in range(len(classes) - w + 1)], axis=0))
+            z = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.dense + net.base
+            p = np.exp(z - z.max())
+            total += p / p.sum() * (letters + 1e-6)
+        total /= total.sum()
+        return net.labels[int(total.argmax())], float(total.max())
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(df, net, common.crc_mod("doc_id", 4) == 2).collect()}
+    for i, t in enumerate(texts):
+        label, score = plain(t)
+        assert got[i][0] == label and got[i][1] == pytest.approx(score, abs=1e-4)
+
+
+def test_toxicity_scores_against_plain_words():
+    """A score is the logistic of the weights of the words a text has, each once, whatever block it is read in."""
+    import numpy as np
+
+    from millrace.llm import vec
+
+    weights = {"foo": 1.5, "bär": -0.7, "it's": 2.0, "stupid": 3.0}
+    hashes = {vec.text_hash(w): v for w, v in weights.items()}
+    words = np.sort(np.array(list(hashes), np.uint64))
+    c = toxicity.Classifier(words, np.array([hashes[int(w)] for w in words]), -1.0)
+    reader = toxicity.Reader(toxicity.CharacterModel(np.ones(toxicity.SYMBOLS**3)))
+    r = random.Random(5)
+    pool = ["foo", "FOO,", "(foo)", "foofoo", "bär", "Bär.", "it's", "its", "other", "\n", "-", "é"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(200)]
+
+    def plain(text):
+        cores = {re.sub(r"^[^a-zA-Z\x80-\U0010ffff]+|[^a-zA-Z\x80-\U0010ffff]+$", "", t).translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER)) for t in text.split()}
+        return 1 / (1 + math.exp(1.0 - sum(weights.get(w, 0.0) for w in cores)))
+
+    data = [t.encode() for t in texts]
+    at = np.cumsum([0, *map(len, data)])
+    scores = c.scores(*reader.words(np.frombuffer(b"".join(data), np.uint8), at), len(texts))
+    assert scores == pytest.approx([plain(t) for t in texts])
+
+
+def test_mixing_solves_the_balance(spark):
+    """The multipliers are the dual's optimum: words meet targets, mean log-lengths stay; copies follow rates and hashes alone."""
+    r = random.Random(12)
+    rows = [(i, r.choice(["a", "b", "c", "d"]), int(r.lognormvariate(4, 1))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    by, params = mixing.balance(df)
+    for source, a, b, centre, _, threshold, capped in params:
+        sizes = [n for _, s, n in rows if s == source]
+        if capped:
+            assert by[source][1] == pytest.approx(3 * sum(sizes))
+            continue
+        rates = [3 / (1 + 2 * math.exp(-(a + b * (math.log1p(n) - centre)))) for n in sizes]
+        assert sum(n * x for n, x in zip(sizes, rates, strict=True)) == pytest.approx(by[source][1], rel=1e-4)
+        assert sum(n * x * (math.log1p(n) - centre) for n, x in zip(sizes, rates, strict=True)) == pytest.approx(0, abs=1e-3 * sum(sizes))
+        assert 0 <= threshold <= 4
+    shuffled = df.repartition(7)
+    assert params == mixing.balance(shuffled)[1]  # whatever the order of sums
+    copies = {x.doc_id: x.copies for x in mixing.with_copies(df, params).collect()}
+    assert copies == {x.doc_id: x.copies for x in mixing.with_copies(shuffled, params).collect()}
