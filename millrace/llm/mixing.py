@@ -92,6 +92,7 @@ def balance(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[dic
     spark = sizes.sparkSession
     g = F.log1p(F.col("size").cast("double"))
     got = sizes.groupBy("source").agg(F.sum("size").alias("n"), F.sum(F.col("size") * g).alias("g")).collect()
+    got.sort(key=lambda r: (r.source is None, r.source or ""))
     size = {r.source: r.n for r in got}
     target = targets(list(size.items()), weights)
     state = {s: [0.0, 0.0] for s in size}  # rates of 1: the corpus itself
