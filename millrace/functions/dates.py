@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import functools
 import re
 from zoneinfo import ZoneInfo
 
@@ -241,6 +242,9 @@ def parse_time(text: str, now: dt.datetime, zone: str = "UTC") -> dt.datetime |
         return None
 
 
+_known = functools.lru_cache(1 << 16)(parse_time)  # columns hold the same dates again and again
+
+
 def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
     y = m = d = h = None
     mi = s = us = 0
@@ -413,7 +417,7 @@ def free_text(text: Column, now: dt.datetime, zone: str = "UTC") -> Column:
     """A Column of free-text dates as timestamps, null where unreadable. ISO forms don't reach Python."""
     @F.pandas_udf("timestamp")
     def residual(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else parse_time(x, now, zone) for x in s], dtype="datetime64[us, UTC]")
+        return pd.Series([None if x is None else _known(x, now, zone) for x in s], dtype="datetime64[us, UTC]")
 
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2})?$")
     return F.coalesce(F.when(iso, F.try_to_timestamp(text)), residual(F.when(~iso, text)))
