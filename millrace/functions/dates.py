@@ -242,7 +242,10 @@ def parse_time(text: str, now: dt.datetime, zone: str = "UTC") -> dt.datetime |
         return None
 
 
-_known = functools.lru_cache(1 << 16)(parse_time)  # columns hold the same dates again and again
+@functools.lru_cache(1 << 16)
+def _known(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
+    """``parse_time``, remembered: columns hold the same dates again and again."""
+    return parse_time(text, now, zone)
 
 
 def _parse(text: str, now: dt.datetime, zone: str) -> dt.datetime | None:
