@@ -257,20 +257,27 @@ def _ginzburg9(m, l, p, o):
 # --- azimuthal --------------------------------------------------------------------------------------
 
 
+def _over(m, a: float, b):
+    """a / b, infinite where b is 0: Spark's own division fails there or gives null."""
+    zero = b == 0
+    return m.where(zero, math.inf, a / m.where(zero, 1.0, b))
+
+
 def _azimuthal(scale):
+    """The point opposite the centre isn't moved: its scale is infinite, but for the equidistant map's."""
+
     def raw(m, l, p, o):
-        c = m.cos(l) * m.cos(p)
-        k = scale(m, m.clip(c, -1 + 1e-12, 1.0))
+        k = scale(m, m.cos(l) * m.cos(p))
         return k * m.cos(p) * m.sin(l), k * m.sin(p)
 
     return raw
 
 
-CLOSED["azimuthalEqualArea"] = _azimuthal(lambda m, c: m.sqrt(2 / (1 + c)))
+CLOSED["azimuthalEqualArea"] = _azimuthal(lambda m, c: m.sqrt(_over(m, 2.0, 1 + c)))
 CLOSED["azimuthalEquidistant"] = _azimuthal(lambda m, c: m.where(m.acos(c) < EPS, c * 0 + 1.0, m.acos(c) / m.sin(m.where(m.acos(c) < EPS, c * 0 + 1.0, m.acos(c)))))
 CLOSED["gnomonic"] = _azimuthal(lambda m, c: 1 / c)
 CLOSED["orthographic"] = _azimuthal(lambda m, c: c * 0 + 1.0)
-CLOSED["stereographic"] = _azimuthal(lambda m, c: 2 / (1 + c) / 2)
+CLOSED["stereographic"] = _azimuthal(lambda m, c: _over(m, 1.0, 1 + c))
 
 
 @_closed("satellite")
@@ -739,7 +746,7 @@ def project(m, raw: Raw, lon, lat, options: dict):
 
 
 def geo(df: DataFrame, lat: str = "lat", lon: str = "lon", projection: str = "mercator", output: dict[str, str] | None = None, **options) -> DataFrame:
-    """Adds layout_x and layout_y of points in degrees."""
+    """Adds layout_x and layout_y of points in degrees; infinite or NaN for a point that the map doesn't show."""
     names = {k: (output or {}).get(k, f"layout_{k}") for k in ("x", "y")}
     lo, la = F.col(lon).cast("double"), F.col(lat).cast("double")
     if projection in CLOSED:
@@ -811,8 +818,10 @@ def path(geometry: dict, projection: str, options: dict, radius: float = 4.5) ->
                 walk(x)
         elif kind in ("Point", "MultiPoint"):
             for q in [c] if kind == "Point" else c:
-                x, y = project(_Numpy, raw, np.array([q[0]], float), np.array([q[1]], float), options)
-                parts.append(f"M{number(x[0])},{number(y[0])}m0,{number(radius)}a{number(radius)},{number(radius)} 0 1,1 0,{number(-2 * radius)}a{number(radius)},{number(radius)} 0 1,1 0,{number(2 * radius)}z")
+                with np.errstate(all="ignore"):
+                    x, y = project(_Numpy, raw, np.array([q[0]], float), np.array([q[1]], float), options)
+                if math.isfinite(x[0]) and math.isfinite(y[0]):
+                    parts.append(f"M{number(x[0])},{number(y[0])}m0,{number(radius)}a{number(radius)},{number(radius)} 0 1,1 0,{number(-2 * radius)}a{number(radius)},{number(radius)} 0 1,1 0,{number(2 * radius)}z")
         elif kind == "LineString":
             line(c, False)
         elif kind == "MultiLineString":
